@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bindery.llm import exact, mixing, packing, secrets, simhash, substrings, tokenfiles, toxicity
+from bindery.llm import exact, licenses, mixing, neighbours, packing, secrets, simhash, substrings, tokenfiles, toxicity
 
 
 def tokenizer_path(name: str) -> str:
@@ -25,6 +25,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -41,6 +45,10 @@ def op6_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(_table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "keep_id", F.col("group_size").cast("long").alias("group_size"), "kept", "text_sha256")
 
 
+def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
@@ -54,7 +62,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_simhash, op3_toxicity, op4_substrings, op5_packing, op6_exact, op8_mixing, op9_secrets, op10_token_files)
+    own = (op1_simhash, op2_licenses, op3_toxicity, op4_substrings, op5_packing, op6_exact, op7_neighbours, op8_mixing, op9_secrets, op10_token_files)
     return {f.__name__: f for f in own}
 
 
