@@ -30,6 +30,7 @@ def _stream(spark: SparkSession, source: str, folder: str, schema, max_bytes_per
     own.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     own.conf.set("spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage", "true")
     own.conf.set("spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB", "200")
+    own.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")  # else each of many small stores holds 4 MB
     reader = own.readStream.schema(schema)
     if max_bytes_per_trigger:
         reader = reader.option("maxBytesPerTrigger", str(max_bytes_per_trigger))
