@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from bindery.plans import relational_queries, scalar_queries
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return scalar_queries.queries() | relational_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return scalar_queries.ORACLE | relational_queries.ORACLE
