@@ -41,32 +41,32 @@ class Encoder:
         self.library.encode_special_tokens = True
         self.dtype = np.dtype("<u2") if self.library.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
-        self.model, self.normalizer = self.library.model, self.library.normalizer
+        self.tokenize, self.normalizer = self.library.model.tokenize, self.library.normalizer
         self.letters = str.maketrans({chr(b): s for b, s in _byte_letters().items()})
         self.lowers = self.normalizer is not None and self.normalizer.normalize_str("AZ") == "az"
         self.spelt = {"": "", " ": " ".translate(self.letters)}
         self.keeps_space = self.library.normalizer is None
-        self.first, self.spaced = _Pieces(self, "", cache), _Pieces(self, " " if self.keeps_space else "", cache)
+        self.first = _Pieces(self, "", cache)
+        self.spaced = _Pieces(self, " ", cache) if self.keeps_space else self.first
         self.line = self.bytes_of(self.library.encode("\n", add_special_tokens=False).ids)
 
     def bytes_of(self, ids: list[int]) -> bytes:
         return array(self.code, ids).tobytes() if sys.byteorder == "little" else np.array(ids, dtype=self.dtype).tobytes()
 
     def word(self, word: str, lead: str) -> bytes:
-        """The ids of letters only, one pre-token."""
-        if word.isascii():
-            return self.bytes_of([t.id for t in self.model.tokenize(self.spelt[lead] + (word.lower() if self.lowers else word))])
-        if self.normalizer is not None:
+        """The ids of letters only, one pre-token.  Normalisation leaves Latin-1 letters but for their case."""
+        if _latin(word):
+            if self.lowers:
+                word = word.lower()
+        elif self.normalizer is not None:
             word = self.normalizer.normalize_str(word)
-        if not word.isalpha():
-            return self.bytes_of(self.library.encode(lead + word, add_special_tokens=False).ids)
-        spelt = (lead + word).encode().decode("latin-1").translate(self.letters)
-        return self.bytes_of([t.id for t in self.model.tokenize(spelt)])
+            if not word.isalpha():
+                return self.piece(word, lead)
+        spelt = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+        return self.bytes_of([t.id for t in self.tokenize(self.spelt[lead] + spelt)])
 
     def piece(self, piece: str, lead: str) -> bytes:
         """The ids of a piece without white space, after ``lead``."""
-        if piece.isalpha():
-            return self.word(piece, lead)
         return self.bytes_of(self.library.encode(lead + piece, add_special_tokens=False).ids)
 
     def encode(self, text: str) -> bytes:
@@ -74,6 +74,8 @@ class Encoder:
             return b""
         if text[0] in " \n" or text[-1] in " \n" or any(s in text for s in _UNEVEN):
             return self.bytes_of(self.library.encode(text, add_special_tokens=False).ids)
+        if self.lowers and _latin(text):
+            text = text.lower()
         out: list[bytes] = []
         first, spaced, line = self.first, self.spaced.__getitem__, self.line
         for part in text.split("\n"):
@@ -85,6 +87,17 @@ class Encoder:
         return b"".join(out)
 
 
+def _latin(text: str) -> bool:
+    """Whether all characters are of Latin-1, each its own normal form, whose lower case is one of them too."""
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class _Pieces(dict):
     """Piece -> ids.  Letters before a closing mark are looked up without it."""
 
@@ -96,10 +109,12 @@ class _Pieces(dict):
         if len(self) >= self.limit:
             self.clear()
         core = piece.rstrip(_TAIL)
-        if core != piece and core.isalpha():
-            ids = self[core] + self.encoder.first[piece[len(core) :]]
-        else:
+        if not core.isalpha():
             ids = self.encoder.piece(piece, self.lead)
+        elif core == piece:
+            ids = self.encoder.word(piece, self.lead)
+        else:
+            ids = self[core] + self.encoder.first[piece[len(core) :]]
         self[piece] = ids
         return ids
 

@@ -30,7 +30,7 @@ END = 2
 MAGIC = b"RPG1"
 #: Ids to a shard, about; rounds of replacement; uses below which a pair gets no rule.
 SHARD_IDS = 1 << 20
-ROUNDS = 4
+ROUNDS = 3
 LEAST = 16
 _SLOTS = 1 << 20
 SHARDS = "part long, seq long, first_id long, start_in_part long, n_ids long, doc_ids array<long>, payload binary"
@@ -42,14 +42,15 @@ def compress(ids: np.ndarray, last: np.ndarray, terminals: int, rounds: int = RO
     Pairs are counted in a table of ``_SLOTS`` hashed slots; of pairs that share a slot, one is a candidate in
     this round and the others may be in the next.
     """
-    symbols, rules, size = ids.astype(np.int64), [np.zeros((0, 2), dtype=np.int64)], terminals
+    symbols, rules, size = ids.astype(np.uint32), [np.zeros((0, 2), dtype=np.int64)], terminals
     owner, room = np.empty(_SLOTS, dtype=np.int64), 1 << 16  # two-byte terminals get the rules that two bytes can name
     for _ in range(rounds):
         if len(symbols) < 2:
             break
-        keys = symbols[:-1] << 32 | symbols[1:]
+        keys = symbols[:-1].astype(np.int64) << 32 | symbols[1:]
         keys[last[:-1]] = -1
-        slot = ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).view(np.int64)
+        mixed = symbols * np.uint32(0x9E3779B1)
+        slot = ((mixed[:-1] ^ symbols[1:]) * np.uint32(0x85EBCA77) >> np.uint32(12)).astype(np.int64)
         counts = np.bincount(slot, minlength=_SLOTS)
         owner[slot] = keys
         near = np.flatnonzero(counts[slot] >= least)
