@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bindery.plans import relational_queries, scalar_queries
+from bindery.plans import relational_queries, scalar_queries, source_queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return scalar_queries.queries() | relational_queries.queries()
+    return scalar_queries.queries() | relational_queries.queries() | source_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return scalar_queries.ORACLE | relational_queries.ORACLE
+    return scalar_queries.ORACLE | relational_queries.ORACLE | source_queries.ORACLE

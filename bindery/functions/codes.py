@@ -111,6 +111,6 @@ def page_price(html: Column | str) -> Column:
     marked = r"([€£¥R$])\s?([0-9]+[0-9.,]*)"
     amount = lambda text: F.replace(F.regexp_extract(text, marked, 2), F.lit(","), F.lit(".")).try_cast("double")
     classed = F.regexp_replace(F.regexp_extract(h, r"""(?is)class=["'][^"']*\b(?:buyButton|price|retailPrice|purchase)\b[^"']*["'][^>]*>(.*?)</""", 1), "<[^>]*>", "")
-    near = F.regexp_extract(h, F.concat(F.lit(r"([€$£¥R])\s?"), F.substring(by_meta.cast("bigint").cast("string"), 1, 3)), 1)
+    near = F.call_function("regexp_extract", h, F.concat(F.lit(r"([€$£¥R])\s?"), F.substring(by_meta.cast("bigint").cast("string"), 1, 3)), F.lit(1))
     symbol = F.when(by_meta.isNotNull(), near).when(amount(h).isNotNull(), F.regexp_extract(h, marked, 1)).otherwise(F.regexp_extract(classed, marked, 1))
     return F.struct(F.coalesce(by_meta, amount(h), amount(classed)).alias("amount"), currency_of_symbol(symbol).alias("currency"))

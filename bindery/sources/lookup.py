@@ -38,7 +38,7 @@ def lookup(queries: DataFrame, fetch: Callable[[str], str | None], query: str =
 
     ``fetch`` runs on the executors; each partition calls it one query at a time, ``pause`` seconds apart.
     """
-    schema = queries.select("*", F.lit("").alias("body")).schema
+    schema = queries.select("*", F.lit(None).cast("string").alias("body")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
