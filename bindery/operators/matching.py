@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from bindery.functions import text
 from bindery.operators.dedup import keep_first
+from bindery.operators.skew import apart
 
 
 def suffixed(df: DataFrame, suffix: str) -> DataFrame:
@@ -41,7 +42,7 @@ def first_match(left: DataFrame, right: DataFrame, copied: list[str]) -> DataFra
     The row is picked before its ISBN is looked at; without one, nothing is taken.
     """
     pick = keep_first(right.where(F.col("_match_key").isNotNull()), [F.col("_match_key")], [F.col("_csv_row")]).where(text.nonblank("isbn13").isNotNull())
-    found = pick.select(F.col("_match_key").alias("__key"), F.col("isbn13").alias("__isbn"), F.col("_csv_row").alias("__row"), *(F.col(c).alias(f"__{c}") for c in copied))
+    found = pick.select(apart(F.col("_match_key"), "string").alias("__key"), F.col("isbn13").alias("__isbn"), F.col("_csv_row").alias("__row"), *(F.col(c).alias(f"__{c}") for c in copied))
     take = text.nonblank("isbn13").isNull() & F.col("__isbn").isNotNull()
     joined = left.join(found, F.col("_match_key") == F.col("__key"), "left")
     return _taken(joined, left.columns, take, copied, "key")
@@ -53,7 +54,7 @@ def unique_title_match(left: DataFrame, right: DataFrame, copied: list[str]) ->
     Titles that several right rows have assign nothing and give an event with those rows instead.
     """
     titles = right.where(F.col("_match_title").isNotNull()).groupBy("_match_title").agg(F.count(F.lit(1)).alias("__n"), F.min_by(F.struct(F.col("isbn13").alias("__isbn"), F.col("_csv_row").alias("__row"), *(F.col(c).alias(f"__{c}") for c in copied)), "_csv_row").alias("__one"))
-    titles = titles.select(F.col("_match_title").alias("__title"), "__n", "__one.*")
+    titles = titles.select(apart(F.col("_match_title"), "string").alias("__title"), "__n", "__one.*")
     joined = left.join(titles, F.col("_match_title") == F.col("__title"), "left")
     open_ = text.nonblank("isbn13").isNull() & F.col("__n").isNotNull()
     rows = _taken(joined, left.columns, open_ & (F.col("__n") == 1) & text.nonblank("__isbn").isNotNull(), copied, "title")
