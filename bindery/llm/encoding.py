@@ -113,6 +113,8 @@ class _Pieces(dict):
             ids = self.encoder.piece(piece, self.lead)
         elif core == piece:
             ids = self.encoder.word(piece, self.lead)
+        elif self.encoder.normalizer is not None and not _latin(core):
+            ids = self.encoder.piece(piece, self.lead)  # normalised, its end may join the marks
         else:
             ids = self[core] + self.encoder.first[piece[len(core) :]]
         self[piece] = ids
