@@ -140,6 +140,7 @@ class Scorer:
             z = self.values[0][own]
             for k in range(1, max(WIDTHS)):
                 z[:-k, FILTERS * k :] += self.values[k][own[k:]]
+            z[_tails(np.append(starts[i + 1 : j], b) - a)] = -np.inf
             pooled.append(np.maximum.reduceat(z, starts[i:j] - a, axis=0))
         logits = model.logits(np.concatenate(pooled) + model.bias)
         spoken = self.language[flat]
@@ -150,6 +151,11 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(logits - model.thresholds[language], -500, 500)))
 
 
+def _tails(ends: np.ndarray) -> np.ndarray:
+    """The last positions of each text, from where filters would reach into the next one."""
+    return (ends[:, None] - np.arange(1, PAD + 1)).ravel()
+
+
 def _pieces(starts: np.ndarray, n: int, words: int = 100_000) -> Iterator[tuple[int, int, int, int]]:
     """Runs of texts of about so many words: (first text, text behind, first word, word behind)."""
     i, ends = 0, np.append(starts[1:], n)
@@ -200,6 +206,7 @@ def fit(texts: list[bytes | None], toxic: np.ndarray, calibrate: np.ndarray, epo
             two = rows[ids]
             x = table[two[:, 0]] + table[two[:, 1]]
             z = model.maps(x)
+            z[_tails(begin[1:])] = -np.inf
             top = np.stack([z[a:b].argmax(axis=0) + a for a, b in zip(begin[:-1], begin[1:], strict=True)])
             pooled = np.take_along_axis(z, top, axis=0)
             live = np.maximum(pooled, 0)
