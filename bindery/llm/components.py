@@ -6,12 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bindery.llm.common import written
+from bindery.operators.skew import join_aggregated
 
 
 def _nearest(edges: DataFrame) -> DataFrame:
-    """(a, b, low): each row with the smallest neighbour of its a.  Minima are combined before the shuffle."""
+    """(a, b, low): each row with the smallest neighbour of its a.
+
+    Minima are combined before the shuffle; both sides are sorted, so that rounds send nothing to the driver.
+    """
     low = edges.groupBy("a").agg(F.min("b").alias("low"))
-    return edges.join(low, "a")
+    return join_aggregated(edges, low.hint("merge"), ["a"])
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -28,7 +32,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame, folder: str, name: str = "components", max_rounds: int = 60) -> DataFrame:
     """(node, root) of every node that has an edge; root is the smallest node reachable.
 
-    ``edges`` has two columns of one ordered type without nulls.  Each round is written to the shared folder,
+    ``edges`` has two integer columns without nulls.  Each round is written to the shared folder,
     so lineage stays short; only a count and a checksum of a round reach the driver.  The rounds grow with
     the logarithm of the longest chain.  A hub's rows are joined with one minimum, which Spark can split.
     """

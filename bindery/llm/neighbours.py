@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from bindery.llm.common import free_shuffles, keyed, shared_dir, written
 from bindery.llm.components import components
+from bindery.operators.skew import join_aggregated
 
 THRESHOLD = 0.95
 #: Neighbours to a list; vectors to a leaf and to a block; trees; rounds; share of lists that may still change.
@@ -65,7 +66,7 @@ def _leaves(nodes: DataFrame, n: int, trees: range, leaf: int) -> DataFrame:
 
     coded = nodes.mapInArrow(run, f"tree long, code long, node long, vector {nodes.schema['vector'].dataType.simpleString()}")
     sizes = coded.groupBy("tree", "code").agg(F.count(F.lit(1)).alias("size"))
-    return coded.join(sizes, ["tree", "code"]).select("tree", "code", F.pmod(F.xxhash64("node", "tree"), F.ceil(F.col("size") / leaf)).alias("cut"), "node", "vector")
+    return join_aggregated(coded, sizes, ["tree", "code"]).select("tree", "code", F.pmod(F.xxhash64("node", "tree"), F.ceil(F.col("size") / leaf)).alias("cut"), "node", "vector")
 
 
 def _best(a: np.ndarray, b: np.ndarray, sim: np.ndarray, k: int) -> pa.RecordBatch:
@@ -267,13 +268,13 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         linked = graph.where(F.col("sim") >= threshold).select("a", "b")
         roots = written(components(linked, folder, f"components-{growth}"), folder, f"roots-{growth}")
         size = roots.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
-        members = roots.join(size, "root").join(nodes.select("node", "weight", "vector"), "node").select("root", "size", "node", "weight", "vector")
+        members = join_aggregated(roots, size, ["root"]).join(nodes.select("node", "weight", "vector"), "node").select("root", "size", "node", "weight", "vector")
         links = written(_blocks(members, threshold, BLOCK), folder, f"links-{growth}")
         if _audit(nodes, links, threshold, AUDIT) >= recall:
             break
     told = nodes.join(roots, "node", "left").join(links, "node", "left").select("digest", "low", "weight", F.coalesce("root", "node").alias("root"), (F.coalesce("n_links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
     lowest = told.groupBy("root").agg(F.min("low").alias("component_id"))
-    told = told.join(lowest, "root").select("digest", "n_links", "component_id")
+    told = join_aggregated(told, lowest, ["root"]).select("digest", "n_links", "component_id")
     out = keys.join(written(told, folder, "told"), "digest", "left")
     component = F.when(F.col("digest").isNull(), F.col("id")).otherwise(F.col("component_id"))
     return out.select(F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from bindery.llm.common import keyed, on_files, rows_at, shared_dir, written
 from bindery.llm.components import components
+from bindery.operators.skew import join_aggregated
 
 SEED = 42
 THRESHOLD = 3
@@ -115,7 +116,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = components(found, folder)
     named = classes.join(roots, classes.fp == roots.node, "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     lowest = named.groupBy("root").agg(F.min("rep").alias("low"))
-    named = written(named.join(lowest, "root").select("fp", "low"), folder, "named")
+    named = written(join_aggregated(named, lowest, ["root"]).select("fp", "low"), folder, "named")
     kept = (F.col("low._file") == F.col("_file")) & (F.col("low._row") == F.col("_row"))
     return rows.join(named, "fp").select("id", "fp", F.col("low.id").alias("component_id"), kept.alias("kept"), "_file", "_row")
 

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bindery.llm.common import free_shuffles, keyed, shared_dir, written
+from bindery.operators.skew import join_aggregated
 
 WINDOW, PHRASE = 35, 10
 #: Occurrences of an anchor beyond which its windows are counted in parallel.
@@ -194,7 +195,7 @@ def _hot_masks(rows: DataFrame) -> DataFrame:
     """The same for anchors of any number of occurrences: counts of windows, combined before the shuffle."""
     each = rows.select("anchor", "_file", "_row", "start", F.posexplode("hashes").alias("bit", "hash"))
     again = each.groupBy("anchor", "hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor", "hash")
-    found = each.join(again, ["anchor", "hash"])
+    found = join_aggregated(each, again, ["anchor", "hash"])
     return found.groupBy("_file", "_row", "start").agg(F.sum(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))).alias("mask"))
 
 
@@ -202,7 +203,7 @@ def recurring(docs: DataFrame, folder: str, window: int = WINDOW, phrase: int =
     """(_file, _row, masks): for each document of (text binary, _file, _row), its windows that start anywhere else."""
     anchors = written(_anchor_rows(docs, window, phrase), folder, "anchors")
     again = anchors.groupBy("anchor").agg(F.sum("n").alias("all")).where("all > 1")
-    listed = anchors.join(again, "anchor").groupBy("_file", "_row").agg(F.collect_list("anchor").alias("anchors"), F.collect_list(F.when(F.col("all") > hot, F.col("anchor"))).alias("hot_anchors"))
+    listed = join_aggregated(anchors, again, ["anchor"]).groupBy("_file", "_row").agg(F.collect_list("anchor").alias("anchors"), F.collect_list(F.when(F.col("all") > hot, F.col("anchor"))).alias("hot_anchors"))
     listed = written(listed, folder, "listed")
     free_shuffles(docs.sparkSession)
     rows = written(_window_rows(docs.join(listed, ["_file", "_row"]), window, phrase), folder, "windows")
