@@ -2,27 +2,19 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bindery.functions import codes, text
+from bindery.operators.shared import folder
 from bindery.plans import pipeline
 from bindery.plans.derived import isbn13, sql_isbn13, table
 from bindery.sources import html, lookup, readers, schemas, sinks
 from bindery.streaming import streams
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    """A new folder where driver and executors can both write: below the checkpoint folder, else a temporary one."""
-    import tempfile
-
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="bindery-")
-    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def _volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
     given = {"gb_id": F.concat(F.lit("g"), k.cast("string")), "title": F.concat(F.lit('"A, '), "p_name", F.lit('"')), "authors": F.concat_ws(";", "p_type", F.lit("B")), "isbn13": F.when(k % 3 == 0, isbn13(k)), "price_amount": F.col("p_size") / 2, "paginas": F.when(k % 2 == 0, F.col("p_size"))}
@@ -31,13 +23,13 @@ def _volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sinks.write_csv(_volumes(spark, sf_dir), path := _folder(spark, "volumes"))
+    sinks.write_csv(_volumes(spark, sf_dir), path := folder(spark, "volumes"))
     return readers.read_volumes(spark, path).select("gb_id", "title", "authors", "isbn13", "price_amount", "paginas", "publisher")
 
 
 def parquet_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = table(spark, sf_dir, "part").withColumn("tags", text.listify(F.concat_ws(";", "p_name", "p_type")))
-    sinks.write_parquet(told, path := _folder(spark, "parts"))
+    sinks.write_parquet(told, path := folder(spark, "parts"))
     return spark.read.parquet(path).select("p_partkey", F.array_join("tags", "|").alias("tags"), "p_retailprice")
 
 
@@ -45,13 +37,13 @@ def json_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A result page's worth of records written as one document and read again."""
     k = F.col("s_suppkey")
     records = table(spark, sf_dir, "supplier").select(F.col("s_name").alias("title"), F.lit("A").alias("author"), (F.col("s_acctbal") / 100).alias("rating"), k.alias("ratings_count"), F.lit(None).cast("string").alias("pub_date"))
-    sinks.write_envelope(records, path := _folder(spark, "envelope"), order="ratings_count", source="test", query="all")
+    sinks.write_envelope(records, path := folder(spark, "envelope"), order="ratings_count", source="test", query="all")
     return readers.read_records(spark, path).select("title", "author", "rating", F.col("input_index").cast("bigint").alias("input_index"), "pub_date")
 
 
 def audit_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "nation").select(F.lit("ambiguous_gb_candidates").alias("event"), F.col("n_name").alias("match_title"), F.col("n_nationkey").cast("bigint").alias("gr_index"))
-    path = _folder(spark, "rules")
+    path = folder(spark, "rules")
     for part in (events.where("gr_index < 10"), events.where("gr_index >= 10")):
         sinks.append_events(part, path)
     return spark.read.schema(schemas.EVENT).json(path).select("event", "match_title", "gr_index")
@@ -123,7 +115,7 @@ def html_price(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prices of the pages, every third with a price tag added."""
     tagged = F.concat("html", F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("<meta itemprop='price' content='EUR "), F.col("page_id").cast("string"), F.lit(",50'>"))).otherwise(""))
     p = codes.page_price(tagged)
-    return table(spark, sf_dir, "pages").where("page_id % 3 = 0").select("page_id", p["amount"].alias("amount"))
+    return table(spark, sf_dir, "pages").select("page_id", p["amount"].alias("amount"))
 
 
 def html_details(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,18 +133,19 @@ def html_list_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def detail_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
     records = table(spark, sf_dir, "part").select(k.alias("p_partkey"), F.concat(F.lit("/b/"), k.cast("string")).alias("book_url"), F.lit(None).cast("string").alias("isbn10"), F.when(k % 2 == 0, F.lit("old")).alias("isbn13"), F.lit("2001").alias("pub_date"), F.lit(1.0).alias("price_amount"), F.lit("USD").alias("price_currency"))
-    details = table(spark, sf_dir, "part").where(k % 3 == 0).select(F.concat(F.lit("/b/"), k.cast("string")).alias("book_url"), F.lit(None).cast("string").alias("isbn10"), F.lit("new").alias("isbn13"), F.lit("2002").alias("pub_date"), F.lit(None).cast("double").alias("price_amount"), F.lit("EUR").alias("price_currency"))
+    there = k % 3 == 0
+    details = table(spark, sf_dir, "part").select(F.concat(F.lit("/b/"), k.cast("string")).alias("book_url"), F.lit(None).cast("string").alias("isbn10"), F.when(there, "new").alias("isbn13"), F.when(there, "2002").alias("pub_date"), F.lit(None).cast("double").alias("price_amount"), F.when(there, "EUR").alias("price_currency"))
     return html.enrich_records(records, details).select("p_partkey", "isbn13", "pub_date", "price_amount", "price_currency")
 
 
 def _run(stream: DataFrame, spark: SparkSession, mode: str) -> DataFrame:
-    folder = _folder(spark, "stream")
+    top = folder(spark, "stream")
 
     def write(batch: DataFrame, k: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={k}")
+        batch.write.mode("overwrite").parquet(f"{top}/out/batch={k}")
 
-    stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{folder}/out").select(*stream.columns)
+    stream.writeStream.outputMode(mode).option("checkpointLocation", f"{top}/state").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{top}/out").select(*stream.columns)
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -185,7 +178,7 @@ ORACLE = {
     "paged_scan": "SELECT 'Book ' || k AS title, 'Author ' || (k % 2) AS author, CAST('3.' || k AS DOUBLE) AS rating, CAST(k || '000' AS BIGINT) AS ratings_count, 'https://site.example/b/' || k AS book_url FROM range(0, 4) t(k)",
     "api_items": f"SELECT p_partkey, CAST(p_partkey AS VARCHAR) AS gb_id, CASE WHEN p_partkey % 2 = 0 THEN {sql_isbn13('p_partkey')} ELSE {sql_isbn13('p_partkey', '979')} END AS any_isbn13, CASE WHEN p_partkey % 2 = 0 THEN {sql_isbn13('p_partkey')} END AS isbn13, p_type AS authors, 'en-US' AS language, p_retailprice AS price_amount, 'EUR' AS price_currency, 'BOOK' AS formato FROM part",
     "html_title_links": "SELECT page_id, nullif(regexp_extract(html, '<title>(.*?)</title>', 1, 's'), '') AS title, CAST(len(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) AS BIGINT) AS n_links, regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)[1] AS first_link FROM pages",
-    "html_price": "SELECT page_id, CAST(page_id || '.50' AS DOUBLE) AS amount FROM pages WHERE page_id % 3 = 0",
+    "html_price": r"SELECT page_id, CASE WHEN page_id % 3 = 0 THEN CAST(page_id || '.50' AS DOUBLE) ELSE TRY_CAST(replace(regexp_extract(html, '([€£¥R$])\s?([0-9]+[0-9.,]*)', 2), ',', '.') AS DOUBLE) END AS amount FROM pages",
     "html_details": "SELECT o_orderkey, strftime(o_orderdate, '%B %-d, %Y') AS pub_date, CAST(o_orderkey || '.25' AS DOUBLE) AS amount, 'USD' AS currency, '0306406152' AS isbn10, '9780306406157' AS isbn13 FROM orders",
     "html_list_rows": "SELECT n_nationkey, CAST(pos AS BIGINT) AS pos, CASE WHEN pos = 0 THEN n_name ELSE 'Second' END AS title, 'A & B' AS author, CAST(4.1 AS DOUBLE) AS rating, CAST(1234 AS BIGINT) AS ratings_count, 'https://site.example/book/' || CASE WHEN pos = 0 THEN CAST(n_nationkey AS VARCHAR) ELSE 'x' END AS book_url FROM nation, range(0, 2) t(pos)",
     "detail_enrichment": "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'old' WHEN p_partkey % 3 = 0 THEN 'new' END AS isbn13, CASE WHEN p_partkey % 3 = 0 THEN '2002' ELSE '2001' END AS pub_date, CAST(1 AS DOUBLE) AS price_amount, CASE WHEN p_partkey % 3 = 0 THEN 'EUR' ELSE 'USD' END AS price_currency FROM part",

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from bindery.operators.shared import stored
 from bindery.sources import schemas
 
 
@@ -49,8 +50,7 @@ def parse_items(bodies: Column) -> Column:
 def with_ordinal(df: DataFrame, name: str, *order: Column | str, by: list[str] | None = None) -> DataFrame:
     """A 1-based string ordinal in an explicit order, per group where ``by`` names one.
 
-    Without a group the order is global: rows are ranged, sorted where they are, and numbered by partition
-    offsets, so no task sees all rows.
+    Without a group the order is global; see ``running_total``.
     """
     if by:
         return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("string"))
@@ -59,13 +59,7 @@ def with_ordinal(df: DataFrame, name: str, *order: Column | str, by: list[str] |
 
 def numbered(df: DataFrame, name: str, *order: Column | str) -> DataFrame:
     """A 1-based global row number in an explicit, unique order, without a single-partition window."""
-    cols = [F.col(o) if isinstance(o, str) else o for o in order]
-    ranged = df.repartitionByRange(*cols).sortWithinPartitions(*cols).withColumn("__id", F.monotonically_increasing_id())
-    part = F.shiftright("__id", 33)
-    sizes = ranged.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
-    before = sizes.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    placed = ranged.withColumn("__part", part).join(F.broadcast(before), "__part")  # one row for each partition
-    return placed.withColumn(name, F.col("__id").bitwiseAND((1 << 33) - 1) + F.col("__before") + 1).select(*df.columns, name)
+    return running_total(df, name, F.lit(1).cast("bigint"), *order)
 
 
 def tagged(df: DataFrame, source: str, file: str | None = None) -> DataFrame:
@@ -74,11 +68,15 @@ def tagged(df: DataFrame, source: str, file: str | None = None) -> DataFrame:
 
 
 def running_total(df: DataFrame, name: str, value: Column, *order: Column | str) -> DataFrame:
-    """The global running sum of a value in an explicit, unique order, by partition offsets like ``numbered``."""
+    """The global running sum of a value in an explicit, unique order.
+
+    Rows are dealt to ranges and written once, so that the ranges are the same wherever they are used; sums run
+    within a range, and the sums of earlier ranges, one row for each range, are added.
+    """
     cols = [F.col(o) if isinstance(o, str) else o for o in order]
-    ranged = df.withColumn("__v", value).repartitionByRange(*cols).withColumn("__part", F.spark_partition_id())
+    ranged = stored(df.withColumn("__v", value).repartitionByRange(*cols).withColumn("__part", F.spark_partition_id()), "ranges")
     sizes = ranged.groupBy("__part").agg(F.sum("__v").alias("__n"))
     before = sizes.select(F.col("__part").alias("__p"), F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
     within = F.sum("__v").over(Window.partitionBy("__part").orderBy(*cols).rowsBetween(Window.unboundedPreceding, 0))
     summed = ranged.withColumn("__sum", within)
-    return summed.join(F.broadcast(before), F.col("__part") == F.col("__p")).select(*df.columns, (F.col("__sum") + F.col("__before")).alias(name))  # one row for each partition
+    return summed.join(F.broadcast(before), F.col("__part") == F.col("__p")).select(*df.columns, (F.col("__sum") + F.col("__before")).alias(name))  # one row for each range
