@@ -12,6 +12,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bindery.functions.text import let
+
 #: Fixed patterns.  Greedy runs of the last two are maximal, so their least length may stand in the pattern.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{12,}"
@@ -54,12 +56,21 @@ def _place(char: Column) -> Column:
     return F.instr(F.lit(ALPHABET), char) - 1
 
 
+def _places(token: Column) -> Column:
+    """The place of each character in the alphabet, -1 for others."""
+    return F.transform(F.split(token, ""), _place)
+
+
 def _ratio(token: Column, table: Column) -> Column:
     """The mean log-likelihood ratio of a token's transitions."""
     n = len(ALPHABET)
-    steps = F.sequence(F.lit(1), F.greatest(F.length(token) - 1, F.lit(1)))
-    at = lambda i: _place(F.substr(token, i, F.lit(1))) * n + _place(F.substr(token, i + 1, F.lit(1)))
-    return F.aggregate(steps, F.lit(0.0), lambda total, i: total + F.coalesce(F.get(table, at(i)), F.lit(0.0))) / F.greatest(F.length(token) - 1, F.lit(1))
+
+    def mean(at: Column) -> Column:
+        steps = F.sequence(F.lit(0), F.greatest(F.size(at) - 2, F.lit(0)))
+        score = lambda i: F.coalesce(F.get(table, F.get(at, i) * n + F.get(at, i + 1)), F.lit(0.0))
+        return F.aggregate(steps, F.lit(0.0), lambda total, i: total + score(i)) / F.greatest(F.size(at) - 1, F.lit(1))
+
+    return let(_places(token), mean)
 
 
 def _literal(values: list[float]) -> Column:
@@ -75,7 +86,7 @@ def train(labelled: DataFrame, smoothing: float = 0.5) -> tuple[list[float], flo
     """
     n = len(ALPHABET)
     fold = F.pmod(F.xxhash64("token"), F.lit(5))
-    pairs = F.transform(F.sequence(F.lit(1), F.length("token") - 1), lambda i: _place(F.substr(F.col("token"), i, F.lit(1))) * n + _place(F.substr(F.col("token"), i + 1, F.lit(1))))
+    pairs = let(_places(F.col("token")), lambda at: F.transform(F.sequence(F.lit(0), F.size(at) - 2), lambda i: F.get(at, i) * n + F.get(at, i + 1)))
     counted = labelled.where((fold > 0) & (F.length("token") > 1)).select("random", F.explode(pairs).alias("pair")).groupBy("random", "pair").count()
     counts = [[smoothing] * (n * n) for _ in range(2)]
     for row in counted.collect():
@@ -91,21 +102,37 @@ def prefix_sums(values: Column) -> Column:
     """The running sums of an array, in blocks, so that long arrays take about linear time."""
     extend = lambda sums, x: F.concat(sums, F.array(F.element_at(sums, -1) + x))
     zero = F.array(F.lit(0))
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.size(values), F.lit(1)) - 1) / _BLOCK).cast("int")), lambda b: F.aggregate(F.slice(values, b * _BLOCK + 1, F.lit(_BLOCK)), zero, extend))
-    before = lambda sums: F.aggregate(F.transform(sums, lambda s: F.element_at(s, -1)), zero, extend)
-    return F.flatten(F.zip_with(blocks, F.slice(before(blocks), F.lit(1), F.size(blocks)), lambda s, b: F.transform(F.slice(s, F.lit(2), F.size(s) - 1), lambda x: x + b)))
+
+    def blocked(own: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.floor((F.greatest(F.size(own), F.lit(1)) - 1) / _BLOCK).cast("int"))
+        return F.transform(starts, lambda b: F.aggregate(F.slice(own, b * _BLOCK + 1, F.lit(_BLOCK)), zero, extend))
+
+    def joined(blocks: Column) -> Column:
+        before = F.aggregate(F.transform(blocks, lambda s: F.element_at(s, -1)), zero, extend)
+        return F.flatten(F.zip_with(blocks, F.slice(before, F.lit(1), F.size(blocks)), lambda s, b: F.transform(F.slice(s, F.lit(2), F.size(s) - 1), lambda x: x + b)))
+
+    return let(let(values, blocked), joined)
 
 
 def _spans(text: Column, pattern: str, kind: int, keep=None) -> Column:
-    """(start, kind, end) of the matches, leftmost and non-overlapping, in code points; ``keep`` tests a match."""
+    """(start, kind, end) of the matches, leftmost and non-overlapping, in code points; ``keep`` tests them.
+
+    What a match needs of the whole text is computed once for the text.
+    """
     empty = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    lengths = F.flatten(F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, m: F.array(F.length(g), F.length(m))))
-    sums = prefix_sums(lengths)
-    good = F.transform(found, lambda m: F.lit(True)) if keep is None else keep(found)
-    spans = F.transform(found, lambda m, i: F.struct(F.get(sums, 2 * i).alias("start"), F.lit(kind).alias("kind"), F.get(sums, 2 * i + 1).alias("end"), F.get(good, i).alias("good")))
-    chosen = F.transform(F.filter(spans, lambda s: s["good"]), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
-    return F.when(text.rlike(pattern), chosen).otherwise(empty)
+
+    def located(m: Column) -> Column:
+        lengths = F.flatten(F.zip_with(F.slice(m["gaps"], F.lit(1), F.size(m["found"])), m["found"], lambda g, x: F.array(F.length(g), F.length(x))))
+        return let(prefix_sums(lengths), lambda sums: chosen(m, sums))
+
+    def chosen(m: Column, sums: Column) -> Column:
+        good = (lambda i: F.lit(True)) if keep is None else (lambda i: F.get(m["good"], i))
+        spans = F.transform(F.sequence(F.lit(0), F.size(m["found"]) - 1), lambda i: F.struct(F.get(sums, 2 * i).alias("start"), F.lit(kind).alias("kind"), F.get(sums, 2 * i + 1).alias("end"), good(i).alias("good")))
+        return F.transform(F.filter(spans, lambda s: s["good"]), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
+
+    matches = F.struct(found.alias("found"), gaps.alias("gaps"), (F.lit(None).cast("array<boolean>") if keep is None else keep(found)).alias("good"))
+    return F.when(text.rlike(pattern), let(matches, located)).otherwise(empty)
 
 
 def _joined(spans: Column) -> Column:
