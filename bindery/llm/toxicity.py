@@ -28,7 +28,7 @@ FUNCTION_WORDS = {
 LANGUAGES = [*FUNCTION_WORDS, "other"]
 FOLDS = 5
 #: Rows of either class that training takes at most.
-TOXIC_ROWS, CLEAN_ROWS = 2000, 4000
+TOXIC_ROWS, CLEAN_ROWS = 2000, 3000
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 18, 12, 6, (1, 2, 3)
 PAD = max(WIDTHS) - 1
 PREFIX = 4
@@ -39,7 +39,7 @@ _STRIP = b".,;:!?\"'()[]{}*#$%&"
 
 
 class Vocabulary(dict):
-    """Word -> index; ``rows`` has the table rows of the word and of its prefix, ``language`` its language."""
+    """Word -> index; ``rows`` has two table rows for each, of the word and of its prefix, ``language`` its language."""
 
     def __init__(self, limit: int = 300_000) -> None:
         super().__init__()
@@ -50,26 +50,27 @@ class Vocabulary(dict):
     def reset(self) -> None:
         self.clear()
         #: Index 0 pads; its rows are the table's last, which stays zero.
-        self.rows: list[tuple[int, int]] = [(BUCKETS, BUCKETS)]
-        self.language = [len(FUNCTION_WORDS)]
+        self.rows = array("q", [BUCKETS, BUCKETS])
+        self.language = array("b", [len(FUNCTION_WORDS)])
 
     def __missing__(self, word: bytes) -> int:
         plain = word.strip(_STRIP).decode("utf-8", "replace").lower()
         h = xxhash.xxh64_intdigest
-        self[word] = k = len(self.rows)
-        self.rows.append((h("w" + plain) % BUCKETS, h("p" + plain[:PREFIX]) % BUCKETS))
+        self[word] = k = len(self.language)
+        self.rows.append(h("w" + plain) % BUCKETS)
+        self.rows.append(h("p" + plain[:PREFIX]) % BUCKETS)
         self.language.append(self.known.get(plain.encode(), len(FUNCTION_WORDS)))
         return k
 
     def texts(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """Word indices of the texts, each padded behind, and where each text begins."""
-        flat = array("q")
+        flat = array("i")
         starts = []
         for text in texts:
             starts.append(len(flat))
             flat.extend(map(self.__getitem__, (text or b"").split()))
             flat.extend([0] * (PAD + 1))
-        return np.frombuffer(flat, dtype=np.int64), np.array(starts, dtype=np.int64)
+        return np.frombuffer(flat, dtype=np.int32), np.array(starts, dtype=np.int64)
 
 
 @dataclass
@@ -96,7 +97,7 @@ class Model:
 
     def values(self, words: Vocabulary, at: int) -> list[np.ndarray]:
         """For words from index ``at`` on: what each adds to the filters as their first, second ... word."""
-        rows = np.array(words.rows[at:], dtype=np.int64).reshape(-1, 2)
+        rows = np.array(words.rows[2 * at :], dtype=np.int64).reshape(-1, 2)
         x = self.table[rows[:, 0]] + self.table[rows[:, 1]]
         return [x @ np.concatenate([k[j] for k in self.filters if len(k) > j], axis=1) for j in range(max(WIDTHS))]
 
@@ -109,7 +110,7 @@ class Scorer:
         self.known, self.values, self.language = 0, [np.zeros((0, 0), np.float32)] * max(WIDTHS), np.zeros(0, dtype=np.int64)
 
     def _learn(self) -> None:
-        n = len(self.words.rows)
+        n = len(self.words.language)
         if n < self.known or not self.known:
             self.known = 0
         if n > self.known:
@@ -127,7 +128,7 @@ class Scorer:
             self.known = n
 
     def __call__(self, texts: list[bytes | None]) -> np.ndarray:
-        if len(self.words.rows) > self.words.limit:
+        if len(self.words.language) > self.words.limit:
             self.words.reset()
             self.known = 0
         flat, starts = self.words.texts(texts)
@@ -165,13 +166,16 @@ def _pieces(starts: np.ndarray, n: int, words: int = 100_000) -> Iterator[tuple[
         i = j
 
 
-def _shared(rows: np.ndarray, flat: np.ndarray, text: np.ndarray) -> np.ndarray:
+def _shared(rows: np.ndarray, flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """The words' table rows, with those that only one text has replaced by the row that stays zero."""
+    texts = np.zeros((2, BUCKETS + 1), dtype=np.int32)
+    for a, b in zip(starts, ends, strict=True):
+        own = rows[flat[a:b]]
+        for k in (0, 1):
+            texts[k, np.unique(own[:, k])] += 1
     out = rows.copy()
     for k in (0, 1):
-        pairs = np.unique(text.astype(np.int32) * np.int64(BUCKETS + 1) + rows[flat, k])
-        texts = np.bincount(pairs % (BUCKETS + 1), minlength=BUCKETS + 1)
-        out[texts[rows[:, k]] < 2, k] = BUCKETS
+        out[texts[k, rows[:, k]] < 2, k] = BUCKETS
     return out
 
 
@@ -185,7 +189,7 @@ def fit(texts: list[bytes | None], toxic: np.ndarray, calibrate: np.ndarray, epo
     words = Vocabulary(limit=1 << 62)
     flat, starts = words.texts(texts)
     ends = np.append(starts[1:], len(flat))
-    rows = _shared(np.array(words.rows, dtype=np.int64), flat, np.repeat(np.arange(len(starts)), ends - starts))
+    rows = _shared(np.array(words.rows, dtype=np.int64).reshape(-1, 2), flat, starts, ends)
     used = np.unique(rows)
     table[used] = rng.normal(0, 0.1, (len(used), DIM))
     table[BUCKETS] = 0
