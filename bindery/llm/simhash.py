@@ -114,11 +114,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = written(rows.groupBy("fp").agg(F.min(place).alias("rep")), folder, "classes")
     found = written(links(classes.select("fp"), threshold), folder, "links")
     roots = components(found, folder)
-    named = classes.join(roots, classes.fp == roots.node, "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
+    named = classes.join(roots.hint("merge"), classes.fp == roots.node, "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     lowest = named.groupBy("root").agg(F.min("rep").alias("low"))
     named = written(join_aggregated(named, lowest, ["root"]).select("fp", "low"), folder, "named")
     kept = (F.col("low._file") == F.col("_file")) & (F.col("low._row") == F.col("_row"))
-    return rows.join(named, "fp").select("id", "fp", F.col("low.id").alias("component_id"), kept.alias("kept"), "_file", "_row")
+    return rows.join(named.hint("merge"), "fp").select("id", "fp", F.col("low.id").alias("component_id"), kept.alias("kept"), "_file", "_row")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
