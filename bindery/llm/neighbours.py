@@ -2,9 +2,11 @@
 
 Equal vectors are one node.  A first neighbour graph comes from leaves of random-projection trees.  NN-descent
 refines it: per node, its neighbours and those it neighbours are compared with each other, and each keeps its
-nearest.  Lists that are full of threshold edges are saturated; they are enlarged to the whole component that
-these edges reach, compared in blocks.  A brute-force audit on sampled queries measures recall, and lists and
-trees grow until it suffices.  Edges below the threshold are dropped, in double precision.
+nearest.  Lists that are full of threshold edges are saturated: a link that both its lists miss joins two such
+nodes.  They are searched again for their nearest outside their own component, which joins components, until no
+list is full of threshold edges.  All links within components are then counted in blocks.  A brute-force audit
+on sampled queries measures the share of vectors that have all their links, and lists and trees grow until it
+suffices; if it never does, all pairs are compared.  Edges below the threshold are dropped, in double precision.
 """
 
 from __future__ import annotations
@@ -81,18 +83,21 @@ def _best(a: np.ndarray, b: np.ndarray, sim: np.ndarray, k: int) -> pa.RecordBat
     return pa.RecordBatch.from_arrays([pa.array(a[near]), pa.array(b[near]), pa.array(sim[near])], names=["a", "b", "sim"])
 
 
-def _compare(groups: DataFrame, key: list[str], k: int) -> DataFrame:
-    """(a, b, sim): within each group of (key, node, vector), each node's k nearest; groups are dealt by key."""
+def _compare(groups: DataFrame, key: list[str], k: int, apart: str = "node") -> DataFrame:
+    """(a, b, sim): within each group of (key, node, vector), each node's k nearest; groups are dealt by key.
 
-    def pairs(nodes: np.ndarray, x: np.ndarray, bounds: list[tuple[int, int]]) -> pa.RecordBatch:
+    Rows that agree in the column ``apart`` are not compared.
+    """
+
+    def pairs(nodes: np.ndarray, kinds: np.ndarray, x: np.ndarray, bounds: list[tuple[int, int]]) -> pa.RecordBatch:
         parts = []
         for s, e in bounds:
             m = e - s
             if m < 2:
                 continue
             sims = x[s:e] @ x[s:e].T
-            own = nodes[s:e]
-            sims[own[:, None] == own[None]] = -2
+            own, kind = nodes[s:e], kinds[s:e]
+            sims[kind[:, None] == kind[None]] = -2
             top = np.argpartition(-sims, min(k, m - 1) - 1, axis=1)[:, : min(k, m - 1)]
             values = np.take_along_axis(sims, top, axis=1).ravel()
             real = values > -2
@@ -108,12 +113,12 @@ def _compare(groups: DataFrame, key: list[str], k: int) -> DataFrame:
             edges = _edges(table, key)
             if len(edges) > _TOGETHER:
                 done = table.slice(0, edges[-1])
-                yield pairs(done.column("node").to_numpy(), _matrix(done.column("vector").combine_chunks()), list(zip([0, *edges[:-1]], edges, strict=True)))
+                yield pairs(done.column("node").to_numpy(), done.column(apart).to_numpy(), _matrix(done.column("vector").combine_chunks()), list(zip([0, *edges[:-1]], edges, strict=True)))
                 table = table.slice(edges[-1])
             held = table
         if held is not None and held.num_rows:
             bounds = [0, *_edges(held, key), held.num_rows]
-            yield pairs(held.column("node").to_numpy(), _matrix(held.column("vector").combine_chunks()), list(zip(bounds[:-1], bounds[1:], strict=True)))
+            yield pairs(held.column("node").to_numpy(), held.column(apart).to_numpy(), _matrix(held.column("vector").combine_chunks()), list(zip(bounds[:-1], bounds[1:], strict=True)))
 
     return groups.repartition(*map(F.col, key)).sortWithinPartitions(*key).mapInArrow(run, "a long, b long, sim double")
 
@@ -146,15 +151,19 @@ def _nearest(rows: DataFrame, k: int) -> DataFrame:
     return rows.repartition(F.col("a")).sortWithinPartitions("a").mapInArrow(run, "a long, b long, sim double")
 
 
-def _join_round(graph: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """Neighbours of neighbours: around each node its list and up to 2k nearest of those that list it.
+def _around(graph: DataFrame, k: int) -> DataFrame:
+    """(centre, node): around each node itself, its list and up to 2k nearest of those that list it.
 
-    The reverse lists are cut only as candidates of this round; whatever a cut leaves out is met through the
+    The reverse lists are cut only as candidates of a round; whatever a cut leaves out is met through the
     forward lists, through later rounds, and in saturated components by the comparison in blocks.
     """
     reverse = _nearest(graph.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim"), 2 * k)
-    around = graph.select(F.col("a").alias("centre"), F.col("b").alias("node")).unionAll(reverse.select(F.col("a").alias("centre"), F.col("b").alias("node"))).unionAll(graph.select(F.col("a").alias("centre"), F.col("a").alias("node"))).distinct()
-    return _compare(around.join(nodes, "node").select("centre", "node", "vector"), ["centre"], k)
+    return graph.select(F.col("a").alias("centre"), F.col("b").alias("node")).unionAll(reverse.select(F.col("a").alias("centre"), F.col("b").alias("node"))).unionAll(graph.select(F.col("a").alias("centre"), F.col("a").alias("node"))).distinct()
+
+
+def _join_round(graph: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+    """Neighbours of neighbours are compared with each other."""
+    return _compare(_around(graph, k).join(nodes, "node").select("centre", "node", "vector"), ["centre"], k)
 
 
 def _descend(graph: DataFrame, nodes: DataFrame, n: int, k: int, rounds: int, folder: str, name: str) -> DataFrame:
@@ -170,6 +179,49 @@ def _descend(graph: DataFrame, nodes: DataFrame, n: int, k: int, rounds: int, fo
     return graph
 
 
+def _forest(near: np.ndarray) -> list[tuple[int, int]]:
+    """Edges that connect what the symmetric matrix ``near`` connects, one less than members of each group."""
+    left, edges = np.ones(len(near), dtype=bool), []
+    for s in range(len(near)):
+        stack = [s] if left[s] else []
+        left[s] = False
+        while stack:
+            u = stack.pop()
+            fresh = np.flatnonzero(near[u] & left)
+            left[fresh] = False
+            edges += [(u, v) for v in fresh.tolist()]
+            stack += fresh.tolist()
+    return edges
+
+
+def _all_edges(nodes: DataFrame, n: int, threshold: float, block: int) -> DataFrame:
+    """(a, b): edges that connect all that links connect, from all pairs of blocks."""
+    cuts = -(-n // block)
+    dealt = nodes.select("node", "vector", F.pmod(F.xxhash64("node", F.lit(SEED)), F.lit(cuts)).cast("int").alias("cut"))
+    both = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(cuts - 1))))
+    pair = both.select(F.least("cut", "other").alias("i"), F.greatest("cut", "other").alias("j"), "node", "vector")
+
+    def edges(table: pa.Table) -> pa.RecordBatch:
+        own, x = table.column("node").to_numpy(), _matrix(table.column("vector").combine_chunks())
+        found = np.array(_forest(x @ x.T >= threshold), dtype=np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(own[found[:, 0]]), pa.array(own[found[:, 1]])], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            bounds = [0, *_edges(table, ["i", "j"])]
+            for s, e in zip(bounds[:-1], bounds[1:], strict=True):
+                yield edges(table.slice(s, e - s))
+            held = table.slice(bounds[-1])
+        if held is not None and held.num_rows:
+            bounds = [0, *_edges(held, ["i", "j"]), held.num_rows]
+            for s, e in zip(bounds[:-1], bounds[1:], strict=True):
+                yield edges(held.slice(s, e - s))
+
+    return pair.repartition(F.col("i"), F.col("j")).sortWithinPartitions("i", "j").mapInArrow(run, "a long, b long")
+
+
 def _blocks(members: DataFrame, threshold: float, block: int) -> DataFrame:
     """(node, n_links): links within each component of (root, size, node, weight, vector), counted in pairs of blocks.
 
@@ -214,10 +266,56 @@ def _blocks(members: DataFrame, threshold: float, block: int) -> DataFrame:
     return counted.groupBy("node").agg(F.sum("n").alias("n_links"))
 
 
-def _audit(nodes: DataFrame, links: DataFrame, threshold: float, queries: int) -> float:
-    """The share of the sampled queries' links that were found: ``queries`` nodes against all, in blocks."""
-    sample = nodes.orderBy(F.xxhash64("node", F.lit(SEED)), "node").limit(queries)
-    found = sample.select("node", "vector").collect()
+def _saturated(lists: DataFrame, threshold: float, k: int) -> DataFrame:
+    """(node): whose list holds k threshold edges, so that there may be more."""
+    return lists.where(F.col("sim") >= threshold).groupBy(F.col("a").alias("node")).count().where(F.col("count") >= k).select("node")
+
+
+def _joined(graph: DataFrame, roots: DataFrame, nodes: DataFrame, threshold: float, k: int, trees: int, rounds: int, folder: str, name: str) -> DataFrame:
+    """(node, root) after saturated nodes were searched for their nearest in other components.
+
+    Their lists leave their own component out, so copies cannot fill them.  Whatever components a full list
+    reaches become one with its own, so the next search looks beyond them; it ends when no list is full.
+    Neighbours of neighbours are met through the first graph too.
+    """
+    left = written(_saturated(graph, threshold, k), folder, f"{name}-left")
+    turn = 0
+    while n := left.count():
+        at, turn = f"{name}-{turn}", turn + 1
+        own = written(left.join(nodes, "node").join(roots, "node").select("node", "root", "vector"), folder, f"{at}-nodes")
+        leaves = _leaves(own.select("node", "vector"), n, range(trees), LEAF).join(own.select("node", "root"), "node")
+        lists = written(_nearest(_compare(leaves, ["tree", "code", "cut"], k, "root"), k), folder, f"{at}-start")
+        inside = graph.join(left, graph.a == left.node, "left_semi").join(left, graph.b == left.node, "left_semi")
+        before = None
+        for r in range(rounds):
+            near = _around(lists.unionAll(inside), k).join(own, "node").select("centre", "node", "root", "vector")
+            lists = written(_nearest(lists.unionAll(_compare(near, ["centre"], k, "root")), k), folder, f"{at}-{r}")
+            free_shuffles(nodes.sparkSession)
+            total = lists.agg(F.sum("sim")).first()[0] or 0.0
+            if before is not None and total - before < STILL * n * k * 0.01:
+                break
+            before = total
+        found = lists.where(F.col("sim") >= threshold).select("a", "b")
+        if found.isEmpty():
+            break
+        tree = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+        roots = written(components(tree.unionAll(found), folder, f"{at}-components"), folder, f"{at}-roots")
+        left = written(_saturated(lists, threshold, k), folder, f"{at}-left")
+    return roots
+
+
+def _audit(nodes: DataFrame, roots: DataFrame, links: DataFrame, threshold: float, queries: int) -> float:
+    """The share of sampled vectors with links that have all of them; each is compared with all nodes, in blocks.
+
+    The lower share of two samples of ``queries``: of all nodes, and of one node of each component, in which a
+    large group counts no more than a small one.
+    """
+    mark = F.struct(F.xxhash64("node", F.lit(SEED)).alias("mark"), "node")
+    named = nodes.join(roots, "node", "left").select("node", "vector", mark.alias("mark"), F.coalesce("root", "node").alias("root"))
+    chosen = named.groupBy("root").agg(F.min("mark").alias("mark")).orderBy("mark").limit(queries).select("mark.node")
+    groups = {r["node"] for r in chosen.collect()}
+    everywhere = {r["node"] for r in nodes.orderBy(F.xxhash64("node", F.lit(SEED)), "node").limit(queries).select("node").collect()}
+    found = nodes.where(F.col("node").isin(sorted(groups | everywhere))).select("node", "vector").collect()
     if not found:
         return 1.0
     ids = np.array([r["node"] for r in found])
@@ -233,8 +331,9 @@ def _audit(nodes: DataFrame, links: DataFrame, threshold: float, queries: int) -
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total)], names=["node", "n"])
 
     truth = nodes.select("node", "weight", "vector").mapInArrow(run, "node long, n long").groupBy("node").agg(F.sum("n").alias("n"))
-    both = truth.join(links, "node", "left").agg(F.sum("n").alias("all"), F.sum(F.least("n", F.coalesce("n_links", F.lit(0)))).alias("found")).first()
-    return (both["found"] or 0) / both["all"] if both["all"] else 1.0
+    told = truth.where("n > 0").join(links, "node", "left").select("node", (F.coalesce("n_links", F.lit(0)) >= F.col("n")).alias("whole")).collect()
+    shares = [[r["whole"] for r in told if r["node"] in sample] for sample in (groups, everywhere)]
+    return min(sum(x) / len(x) if x else 1.0 for x in shares)
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, k: int = K, trees: int = TREES, rounds: int = ROUNDS, recall: float = RECALL) -> DataFrame:
@@ -259,6 +358,12 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     n = nodes.count()
     slim = nodes.select("node", "vector")
     graph = None
+
+    def counted(roots: DataFrame, name: str) -> DataFrame:
+        size = roots.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
+        members = join_aggregated(roots, size, ["root"]).join(nodes.select("node", "weight", "vector"), "node").select("root", "size", "node", "weight", "vector")
+        return written(_blocks(members, threshold, BLOCK), folder, f"links-{name}")
+
     for growth in range(GROWTHS):
         grown = range(0, trees) if graph is None else range(trees * 2 ** (growth - 1), trees * 2**growth)
         k_now = k * 2**growth
@@ -267,11 +372,13 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         graph = _descend(start, slim, n, k_now, rounds, folder, f"graph-{growth}")
         linked = graph.where(F.col("sim") >= threshold).select("a", "b")
         roots = written(components(linked, folder, f"components-{growth}"), folder, f"roots-{growth}")
-        size = roots.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
-        members = join_aggregated(roots, size, ["root"]).join(nodes.select("node", "weight", "vector"), "node").select("root", "size", "node", "weight", "vector")
-        links = written(_blocks(members, threshold, BLOCK), folder, f"links-{growth}")
-        if _audit(nodes, links, threshold, AUDIT) >= recall:
+        roots = _joined(graph, roots, slim, threshold, k_now, trees, rounds, folder, f"joined-{growth}")
+        links = counted(roots, str(growth))
+        if _audit(nodes, roots, links, threshold, AUDIT) >= recall:
             break
+    else:
+        roots = written(components(_all_edges(slim, n, threshold, BLOCK), folder, "components-all"), folder, "roots-all")
+        links = counted(roots, "all")
     told = nodes.join(roots, "node", "left").join(links, "node", "left").select("digest", "low", "weight", F.coalesce("root", "node").alias("root"), (F.coalesce("n_links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
     lowest = told.groupBy("root").agg(F.min("low").alias("component_id"))
     told = join_aggregated(told, lowest, ["root"]).select("digest", "n_links", "component_id")

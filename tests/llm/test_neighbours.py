@@ -69,6 +69,36 @@ def test_saturated_component_spreads_over_blocks(spark, monkeypatch):
     assert [r["n_links"] for r in run(spark, rows)] == [299] * 300
 
 
+def clusters(seed=5, groups=8, copies=60):
+    """Groups of close copies in a row, each linked with the next only; more copies than the longest lists hold."""
+    rng = np.random.default_rng(seed)
+    u, v = np.linalg.qr(rng.normal(size=(16, 2)))[0].T
+    centres = [np.cos(0.26 * g) * u + np.sin(0.26 * g) * v for g in range(groups)]
+    rows = [c + rng.normal(scale=0.002, size=16) for c in centres for _ in range(copies)] + list(rng.normal(size=(400, 16)))
+    return [(k, [float(np.float32(x)) for x in r]) for k, r in enumerate(rows)]
+
+
+def test_links_between_groups_of_close_copies(spark):
+    """Lists that copies fill do not hide the links to the next group."""
+    rows = clusters()
+    links, groups = brute(rows)
+    assert groups[:480] == [0] * 480 and links[0] == 119
+    found = {r["vec_id"]: r for r in run(spark, rows)}
+    assert [found[k]["n_links"] for k in range(480)] == links[:480]
+    assert [found[k]["component_id"] for k in range(480)] == [0] * 480
+
+
+def test_all_pairs_where_the_audit_fails(spark, monkeypatch):
+    """Without usable lists, the result is still whole."""
+    monkeypatch.setattr(neighbours, "GROWTHS", 1)
+    monkeypatch.setattr(neighbours, "BLOCK", 64)
+    monkeypatch.setattr(neighbours, "_audit", lambda *_: 0.0)
+    rows = clusters(groups=3, copies=20)
+    links, groups = brute(rows)
+    found = {r["vec_id"]: r for r in run(spark, rows, trees=1, rounds=0)}
+    assert [found[k]["n_links"] for k, _ in rows] == links and [found[k]["component_id"] for k, _ in rows] == groups
+
+
 def test_repeated_rows_and_null_ids(spark):
     v = [1.0] * 16
     found = run(spark, [(5, v), (5, v), (None, v), (7, [-x for x in v])])
