@@ -1,8 +1,8 @@
 """Token ids in shards compressed by Re-Pair grammars.
 
 A shard holds the ids of consecutive documents.  Frequent pairs of ids are repeatedly replaced by nonterminals;
-each round replaces every pair that is frequent enough, the more frequent first where occurrences overlap.  A
-shard stores the remaining symbols, the rules and the expansion length of each rule, so that any document, or
+each round replaces every pair that is frequent enough, the more frequent first where occurrences overlap, until
+no pair is.  A shard stores the remaining symbols, the rules and the expansion length of each rule, so that any document, or
 any span of one, is decoded without the rest.  Shards are rows of a Parquet dataset: Spark writes and reads them
 in any store, and a lost executor's shards are written again.
 
@@ -28,35 +28,43 @@ from bindery.llm.encoding import encoder
 
 END = 2
 MAGIC = b"RPG1"
-#: Ids to a shard, about; rounds of replacement; uses below which a pair gets no rule.
+#: Ids to a shard, about; uses below which a pair gets no rule.
 SHARD_IDS = 1 << 20
-ROUNDS = 3
 LEAST = 16
 _SLOTS = 1 << 20
 SHARDS = "part long, seq long, first_id long, start_in_part long, n_ids long, doc_ids array<long>, payload binary"
 
 
-def compress(ids: np.ndarray, last: np.ndarray, terminals: int, rounds: int = ROUNDS, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, last: np.ndarray, terminals: int, rounds: int | None = None, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, last, rules): ``last`` marks the final symbol of each document; no rule crosses documents.
 
     Pairs are counted in a table of ``_SLOTS`` hashed slots; of pairs that share a slot, one is a candidate in
-    this round and the others may be in the next.
+    this round and the others may be in the next.  Where that finds nothing, a round counts exactly; if that
+    finds nothing too, no pair has ``least`` uses and the rest is left.  ``rounds`` can end it earlier.
     """
     symbols, rules, size = ids.astype(np.uint32), [np.zeros((0, 2), dtype=np.int64)], terminals
-    owner, room = np.empty(_SLOTS, dtype=np.int64), 1 << 16  # two-byte terminals get the rules that two bytes can name
-    for _ in range(rounds):
-        if len(symbols) < 2:
-            break
+    turn, exact = 0, False
+    while len(symbols) > 1 and (rounds is None or turn < rounds):
+        turn += 1
         keys = symbols[:-1].astype(np.int64) << 32 | symbols[1:]
         keys[last[:-1]] = -1
-        mixed = symbols * np.uint32(0x9E3779B1)
-        slot = ((mixed[:-1] ^ symbols[1:]) * np.uint32(0x85EBCA77) >> np.uint32(12)).astype(np.int64)
-        counts = np.bincount(slot, minlength=_SLOTS)
-        owner[slot] = keys
-        near = np.flatnonzero(counts[slot] >= least)
-        near = near[(owner[slot[near]] == keys[near]) & (keys[near] >= 0)]
+        valid = np.flatnonzero(keys >= 0)
+        if exact:
+            owner, inverse = np.unique(keys, return_inverse=True)
+            slot, slots = inverse.astype(np.int64), len(owner)
+        else:
+            mixed = symbols * np.uint32(0x9E3779B1)
+            slot, slots = ((mixed[:-1] ^ symbols[1:]) * np.uint32(0x85EBCA77) >> np.uint32(12)).astype(np.int64), _SLOTS
+            owner = np.full(slots, -1, dtype=np.int64)
+            owner[slot[valid]] = keys[valid]
+        counts = np.bincount(slot[valid], minlength=slots)
+        near = valid[counts[slot[valid]] >= least]
+        near = near[owner[slot[near]] == keys[near]]
         if not len(near):
-            break
+            if exact:
+                break
+            exact = True
+            continue
         hot = np.flatnonzero(counts >= least)
         hot = hot[np.argsort(-counts[hot], kind="stable")]
         counts[hot] = np.arange(len(hot))
@@ -64,14 +72,21 @@ def compress(ids: np.ndarray, last: np.ndarray, terminals: int, rounds: int = RO
         mine = np.full(len(keys) + 2, none, dtype=np.int64)
         ranks = counts[slot[near]]
         mine[near + 1] = ranks
-        chosen = (ranks < mine[near]) & (ranks <= mine[near + 2])
+        # Of a run of one symbol, whose pairs overlap, every other pair.
+        begins = ranks != mine[near]
+        run = np.maximum.accumulate(np.where(begins, near, 0))
+        chosen = np.where(begins, ranks < mine[near], (near - run) % 2 == 0) & (ranks <= mine[near + 2])
         put, ranks = near[chosen], ranks[chosen]
-        worth = np.flatnonzero(np.bincount(ranks, minlength=none) >= 3)[: room - size if terminals <= room else none]
+        worth = np.flatnonzero(np.bincount(ranks, minlength=none) >= min(3, least))
         number = np.full(none, -1, dtype=np.int64)
         number[worth] = size + np.arange(len(worth))
         put, ranks = put[number[ranks] >= 0], ranks[number[ranks] >= 0]
         if not len(put):
-            break
+            if exact:
+                break
+            exact = True
+            continue
+        exact = False
         pairs = owner[hot[worth]]
         rules.append(np.stack((pairs >> 32, pairs & 0xFFFFFFFF), axis=1))
         symbols[put] = number[ranks]
@@ -82,7 +97,7 @@ def compress(ids: np.ndarray, last: np.ndarray, terminals: int, rounds: int = RO
     return symbols, last, np.concatenate(rules)
 
 
-def write_shard(documents: list[np.ndarray], terminals: int, rounds: int = ROUNDS, least: int = LEAST) -> bytes:
+def write_shard(documents: list[np.ndarray], terminals: int, rounds: int | None = None, least: int = LEAST) -> bytes:
     """The shard of some documents' ids; a document may be empty."""
     sizes = np.array([len(d) for d in documents], dtype=np.int64)
     ids = np.concatenate(documents) if documents else np.zeros(0, dtype=np.int64)

@@ -51,6 +51,28 @@ def test_grammar_compresses():
     assert len(tokenfiles.write_shard(docs, 1000)) < 0.6 * 2 * sum(map(len, docs))
 
 
+@pytest.mark.parametrize("case", ["copies", "runs", "many pairs"])
+def test_no_frequent_pair_is_left(case):
+    """Rounds go on until no pair has the uses that a rule needs, whatever number of rules that takes."""
+    rng = np.random.default_rng(1)
+    if case == "copies":
+        docs, terminals = [rng.integers(0, 1000, 500).astype(np.uint16)] * 1000, 1000
+    elif case == "runs":
+        docs, terminals = [np.full(n, 5, dtype=np.uint16) for n in range(1, 400)], 6
+    else:
+        docs, terminals = [rng.permutation(np.repeat(np.arange(30_000, dtype=np.uint16), 2))] * 16, 49_000
+    last = np.zeros(sum(map(len, docs)), dtype=bool)
+    last[np.cumsum([len(d) for d in docs]) - 1] = True
+    symbols, ends, rules = tokenfiles.compress(np.concatenate(docs), last, terminals)
+    keys = (symbols[:-1].astype(np.int64) << 32 | symbols[1:])[~ends[:-1]]
+    used = np.unique(keys[keys >> 32 != keys & 0xFFFFFFFF], return_counts=True)[1]
+    assert used.max(initial=0) < tokenfiles.LEAST
+    if case == "copies":
+        assert len(symbols) == 1000
+    shard = tokenfiles.Shard(tokenfiles.write_shard(docs, terminals))
+    assert all((a == b).all() for a, b in zip(shard.documents(), docs, strict=True))
+
+
 @pytest.mark.parametrize("shard_ids", [1 << 20, 100])
 def test_token_files(spark, docs, strange_rows, tmp_path, shard_ids):
     path = f"file://{tmp_path}/shards"
