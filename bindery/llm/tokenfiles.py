@@ -31,70 +31,76 @@ MAGIC = b"RPG1"
 #: Ids to a shard, about; uses below which a pair gets no rule.
 SHARD_IDS = 1 << 20
 LEAST = 16
-_SLOTS = 1 << 20
 SHARDS = "part long, seq long, first_id long, start_in_part long, n_ids long, doc_ids array<long>, payload binary"
 
 
 def compress(ids: np.ndarray, last: np.ndarray, terminals: int, rounds: int | None = None, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, last, rules): ``last`` marks the final symbol of each document; no rule crosses documents.
 
-    Pairs are counted in a table of ``_SLOTS`` hashed slots; of pairs that share a slot, one is a candidate in
-    this round and the others may be in the next.  Where that finds nothing, a round counts exactly; if that
-    finds nothing too, no pair has ``least`` uses and the rest is left.  ``rounds`` can end it earlier.
+    Symbols are a linked list over their first positions, where n stands for no neighbour.  A pair that is rare
+    stays rare, for only new symbols make new pairs, so a round looks at the ``live`` positions alone: those whose
+    pair is new or was frequent and overlapped by a better one.  Pairs are counted in hashed slots; of pairs that
+    share a slot one is counted in this round and the others, by another hash, in the next.  The rounds end when no
+    pair has ``least`` uses; ``rounds`` can end them earlier.  Of a run of one symbol, whose pairs overlap, every other pair is replaced.
     """
-    symbols, rules, size = ids.astype(np.uint32), [np.zeros((0, 2), dtype=np.int64)], terminals
-    turn, exact = 0, False
-    while len(symbols) > 1 and (rounds is None or turn < rounds):
+    n = len(ids)
+    symbols = np.append(ids.astype(np.uint32), np.uint32(0))
+    after, before = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
+    ends = np.flatnonzero(last)
+    after[ends] = before[ends + 1] = before[0] = n
+    alive, mark = np.ones(n + 1, dtype=bool), np.zeros(n + 1, dtype=bool)
+    rules, size, turn = [np.zeros((0, 2), dtype=np.int64)], terminals, 0
+    live = np.flatnonzero(after[:n] < n).astype(np.int32)
+    while len(live) and (rounds is None or turn < rounds):
+        bits = min(20, max(8, (4 * len(live)).bit_length()))
+        left, right = symbols[live], symbols[after[live]]
+        slot = ((left * np.uint32(0x9E3779B1) ^ right) * np.uint32((0x85EBCA77 + 2 * turn * 0x3C6EF372) % (1 << 32))) >> np.uint32(32 - bits)
         turn += 1
-        keys = symbols[:-1].astype(np.int64) << 32 | symbols[1:]
-        keys[last[:-1]] = -1
-        valid = np.flatnonzero(keys >= 0)
-        if exact:
-            owner, inverse = np.unique(keys, return_inverse=True)
-            slot, slots = inverse.astype(np.int64), len(owner)
-        else:
-            mixed = symbols * np.uint32(0x9E3779B1)
-            slot, slots = ((mixed[:-1] ^ symbols[1:]) * np.uint32(0x85EBCA77) >> np.uint32(12)).astype(np.int64), _SLOTS
-            owner = np.full(slots, -1, dtype=np.int64)
-            owner[slot[valid]] = keys[valid]
-        counts = np.bincount(slot[valid], minlength=slots)
-        near = valid[counts[slot[valid]] >= least]
-        near = near[owner[slot[near]] == keys[near]]
-        if not len(near):
-            if exact:
-                break
-            exact = True
-            continue
-        hot = np.flatnonzero(counts >= least)
-        hot = hot[np.argsort(-counts[hot], kind="stable")]
-        counts[hot] = np.arange(len(hot))
-        none = len(hot)
-        mine = np.full(len(keys) + 2, none, dtype=np.int64)
-        ranks = counts[slot[near]]
-        mine[near + 1] = ranks
-        # Of a run of one symbol, whose pairs overlap, every other pair.
-        begins = ranks != mine[near]
-        run = np.maximum.accumulate(np.where(begins, near, 0))
-        chosen = np.where(begins, ranks < mine[near], (near - run) % 2 == 0) & (ranks <= mine[near + 2])
-        put, ranks = near[chosen], ranks[chosen]
-        worth = np.flatnonzero(np.bincount(ranks, minlength=none) >= min(3, least))
-        number = np.full(none, -1, dtype=np.int64)
+        hot = np.flatnonzero(np.bincount(slot, minlength=1 << bits)[slot] >= least)
+        live, slot = live[hot], slot[hot]
+        keys = left[hot].astype(np.uint64) << np.uint64(32) | right[hot]
+        owner = np.empty(1 << bits, dtype=np.uint64)
+        owner[slot] = keys
+        own = owner[slot] == keys
+        unsure, live, slot = live[~own], live[own], slot[own]
+        counts = np.bincount(slot, minlength=1 << bits)
+        frequent = np.flatnonzero(counts >= least)
+        frequent = frequent[np.argsort(-counts[frequent], kind="stable")]
+        none = len(frequent)
+        ranked = np.full(1 << bits, none, dtype=np.int32)
+        ranked[frequent] = np.arange(none, dtype=np.int32)
+        ranks = ranked[slot]
+        live, ranks = live[ranks < none], ranks[ranks < none]
+        touch = after[live[:-1]] == live[1:]
+        begins = np.append(True, ~touch | (ranks[1:] != ranks[:-1]))[: len(live)]
+        above = np.append(True, ~touch | (ranks[1:] < ranks[:-1]))[: len(live)]
+        below = np.append(~touch | (ranks[:-1] <= ranks[1:]), True)[: len(live)]
+        at = np.arange(len(live))
+        run = np.maximum.accumulate(np.where(begins, at, 0))
+        chosen = np.where(begins, above, (at - run) % 2 == 0) & below
+        heads, used = live[chosen], ranks[chosen]
+        worth = np.flatnonzero(np.bincount(used, minlength=none) >= min(3, least))
+        number = np.zeros(none, dtype=np.uint32)
         number[worth] = size + np.arange(len(worth))
-        put, ranks = put[number[ranks] >= 0], ranks[number[ranks] >= 0]
-        if not len(put):
-            if exact:
-                break
-            exact = True
+        heads, used = heads[number[used] > 0], used[number[used] > 0]
+        if not len(heads):
+            live = unsure
             continue
-        exact = False
-        pairs = owner[hot[worth]]
-        rules.append(np.stack((pairs >> 32, pairs & 0xFFFFFFFF), axis=1))
-        symbols[put] = number[ranks]
-        keep = np.ones(len(symbols), dtype=bool)
-        keep[put + 1] = False
-        last[put] = last[put + 1]
-        symbols, last, size = symbols[keep], last[keep], size + len(worth)
-    return symbols, last, np.concatenate(rules)
+        pairs = owner[frequent[worth]]
+        rules.append(np.stack((pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)), axis=1).astype(np.int64))
+        size += len(worth)
+        gone = after[heads]
+        behind = after[gone]
+        symbols[heads], after[heads] = number[used], behind
+        before[behind] = heads
+        for some in (live, unsure, heads, before[heads]):
+            mark[some] = True
+        alive[gone] = mark[gone] = mark[n] = False
+        live = np.flatnonzero(mark).astype(np.int32)
+        mark[live] = False
+        live = live[after[live] < n]
+    alive[n] = False
+    return symbols[alive], after[alive] == n, np.concatenate(rules)
 
 
 def write_shard(documents: list[np.ndarray], terminals: int, rounds: int | None = None, least: int = LEAST) -> bytes:
@@ -172,8 +178,8 @@ class Shard:
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end: int = END, shard_ids: int = SHARD_IDS) -> None:
     """Write the ids of all rows of ``docs`` at ``path``, in ascending order of id, nulls first.
 
-    A null or empty text is ``end`` alone; repeated ids are documents of their own, ordered by text.  Other
-    columns are ignored.  A shard ends at the first document that brings it to ``shard_ids`` ids, so a task holds
+    A null or empty text is ``end`` alone; repeated ids are documents of their own, ordered by a hash of the text
+    and the text, so that no id makes a task large.  Other columns are ignored.  A shard ends at the first document that brings it to ``shard_ids`` ids, so a task holds
     one shard and one document.
     """
 
@@ -202,7 +208,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
             yield shard()
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows.repartitionByRange(F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "text").mapInArrow(run, SHARDS).write.parquet(path)
+    order = [F.col("id").asc_nulls_first(), F.xxhash64("text")]
+    rows.repartitionByRange(*order).sortWithinPartitions(*order, "text").mapInArrow(run, SHARDS).write.parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
@@ -222,8 +229,8 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([part.as_py()] * len(found), pa.int64()), pa.array(names.as_py(), pa.int64()), pa.array(begins, pa.int64()), pa.array(shard.sizes, pa.int64()), pa.array(crcs, pa.int64())], names=["part", "doc_id", "begin", "n_tokens", "ids_crc32"])
 
     shards = spark.read.schema(SHARDS).parquet(path)
-    parts = shards.groupBy("part").agg(F.min("seq").alias("seq"), F.min("first_id").alias("first"), F.sum("n_ids").alias("n"))
-    earlier = Window.orderBy(F.col("first").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    parts = shards.groupBy("part").agg(F.sum("n_ids").alias("n"))
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = parts.select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"))
     decoded = shards.select("part", "start_in_part", "doc_ids", "payload").mapInArrow(run, "part long, doc_id long, begin long, n_tokens long, ids_crc32 long")
     return decoded.join(F.broadcast(offsets), "part").select("doc_id", (F.col("begin") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32")
