@@ -18,31 +18,33 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bindery.llm import license_texts
+from bindery.llm.wordhash import CACHE, rolling
+
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 2
 SEED = 5
 _MARKS = b".,;:!?\"'()[]{}<>*#"
-#: Fixed texts: notices by which public licenses are named or granted.
-TEMPLATES = {
-    "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"],
-    "MIT": ["Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"],
-    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
-    "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under the Creative Commons Attribution-NonCommercial 4.0 International License."],
-    "CC-BY-4.0": ["Licensed under CC BY 4.0 International.", "This work is licensed under the Creative Commons Attribution 4.0 International License."],
-    "BSD-3-Clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"],
-    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
-}
 
 
-def words_of(text: bytes | None) -> list[bytes]:
-    """Lower-cased words without the marks around them; words of marks only are dropped."""
-    return [w for w in (x.strip(_MARKS) for x in (text or b"").lower().split()) if w]
+class _Plain(dict):
+    """Lower-cased word -> the hash of it without the marks around it; nothing for marks alone."""
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= CACHE:
+            self.clear()
+        plain = word.strip(_MARKS)
+        self[word] = h = xxhash.xxh64_digest(plain, SEED) if plain else b""
+        return h
+
+
+_plain = _Plain()
 
 
-def shingles(words: list[bytes]) -> np.ndarray:
-    """Hashes of every five consecutive words; of the whole sequence if there are fewer, none if there are none."""
-    n = max(1, len(words) - SHINGLE + 1) if words else 0
-    return np.frombuffer(b"".join([xxhash.xxh64_digest(b" ".join(words[i : i + SHINGLE]), SEED) for i in range(n)]), dtype="<u8")
+def shingles(text: bytes | None) -> np.ndarray:
+    """Hashes of every five consecutive words, lower-cased and stripped; of the whole sequence if there are fewer."""
+    h = np.frombuffer(b"".join(map(_plain.__getitem__, (text or b"").lower().split())), dtype=np.uint64)
+    return rolling(h, min(SHINGLE, len(h)), 0xD6E8FEB86659FD93) if len(h) else h
 
 
 def _signatures(groups: list[np.ndarray], mult: np.ndarray, add: np.ndarray) -> np.ndarray:
@@ -67,11 +69,11 @@ class Scanner:
         self.names, self.own, sizes = [], [], []
         for name, texts in sorted(templates.items()):
             for text in texts:
-                words = words_of(text.encode())
-                if words:
+                h = shingles(text.encode())
+                if len(h):
                     self.names.append(name)
-                    self.own.append(np.unique(shingles(words)))
-                    sizes.append(len(words))
+                    self.own.append(np.unique(h))
+                    sizes.append(len(h) + SHINGLE - 1)
         self.all = np.unique(np.concatenate(self.own)) if self.own else np.zeros(0, dtype=np.uint64)
         self.classes: dict[int, dict[tuple[int, bytes], list[int]]] = {}
         order = sorted(range(len(sizes)), key=lambda k: -sizes[k])
@@ -84,18 +86,16 @@ class Scanner:
             for band in range(BANDS):
                 self.classes[size][band, signature[band * ROWS : (band + 1) * ROWS].tobytes()].append(k)
 
-    def scan(self, text: bytes | None) -> list[tuple[str, float, int, int]]:
-        """(license, containment, first word, word behind) of the best window per license."""
-        words = words_of(text)
-        h = shingles(words)
+    def matches(self, text: bytes | None) -> list[tuple[str, float, np.ndarray]]:
+        """(license, containment, places of its shingles) of the best window per license, the best first."""
+        h = shingles(text)
         hits = np.flatnonzero(np.isin(h, self.all))
         if not len(hits):
             return []
-        best: dict[str, tuple[float, int, int]] = {}
+        best: dict[str, tuple[float, int, np.ndarray]] = {}
         for size, bands in self.classes.items():
             stride = max(1, size // 4)
-            span = size + stride
-            n = max(1, span - SHINGLE + 1)
+            n = max(1, size + stride - SHINGLE + 1)
             starts = np.unique(np.concatenate([hits // stride - k for k in range(-(-n // stride) + 1)])) * stride
             starts = starts[starts >= 0]
             groups = [h[s : s + n] for s in starts.tolist()]
@@ -104,20 +104,36 @@ class Scanner:
                 found = {k for band in range(BANDS) for k in bands.get((band, signature[band * ROWS : (band + 1) * ROWS].tobytes()), ())}
                 for k in found:
                     share = float(np.isin(self.own[k], group).mean())
-                    if share >= self.similarity and share > best.get(self.names[k], (0.0, 0, 0))[0]:
-                        best[self.names[k]] = share, s, min(len(words), s + span)
-        return [(name, *best[name]) for name in sorted(best)]
+                    rank = share, len(self.own[k])
+                    if share >= self.similarity and rank > best.get(self.names[k], (0.0, 0, h))[:2]:
+                        best[self.names[k]] = *rank, s + np.flatnonzero(np.isin(group, self.own[k]))
+        return [(name, share, at) for name, (share, _, at) in sorted(best.items(), key=lambda x: (-x[1][0], -x[1][1], x[0]))]
+
+    def scan(self, text: bytes | None) -> list[tuple[str, float, int, int]]:
+        """(license, containment, first word, word behind) of the licenses found.
+
+        Texts of related licenses share most of their words.  A license is passed over if half of the shingles that
+        speak for it speak for one that is contained more fully, or as fully and is longer.
+        """
+        out: list[tuple[str, float, int, int]] = []
+        spoken: list[np.ndarray] = []
+        for name, share, at in self.matches(text):
+            if not any(2 * np.isin(at, other).sum() >= len(at) for other in spoken):
+                spoken.append(at)
+                out.append((name, share, int(at[0]), int(at[-1]) + SHINGLE))
+        return sorted(out)
 
 
 def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, license, containment, start, end): one row per row of ``docs`` and license found in it.
 
-    ``start`` and ``end`` are the words of the best window, the first of equals.  Null and empty texts have no
+    ``start`` and ``end`` are the words of the passage in its best window, the first of equals; words of marks alone
+    do not count.  Of related licenses that the same passage resembles, the one contained most fully is told.  Null and empty texts have no
     license; a null id keeps its rows; repeated rows repeat theirs; other columns are ignored; an empty table
     gives an empty result.  Whole texts are scanned where they are read; the templates, which the caller holds
     in memory, are all that is sent out.
     """
-    chosen = TEMPLATES if templates is None else templates
+    chosen = license_texts.templates() if templates is None else templates
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(chosen)

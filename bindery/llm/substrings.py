@@ -16,11 +16,11 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bindery.llm.common import free_shuffles, keyed, shared_dir, written
+from bindery.llm.wordhash import rolling, word_hashes
 from bindery.operators.skew import join_aggregated
 
 WINDOW, PHRASE = 35, 10
@@ -30,43 +30,9 @@ HOT = 2000
 ROW = 32
 #: Words to a chunk of documents, about.
 CHUNK = 400_000
-_CACHE = 400_000
 _U = np.uint64
 
 
-class _Hashes(dict):
-    """Word -> 8 bytes of hash, for as many words as a worker may hold."""
-
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= _CACHE:
-            self.clear()
-        self[word] = h = xxhash.xxh64_digest(word)
-        return h
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.__getitem__, words)), dtype=_U)
-
-
-_hashes = _Hashes()
-
-
-def _rolling(h: np.ndarray, k: int, base: int) -> np.ndarray:
-    """Polynomial hashes of every k consecutive values, modulo 2**64, by doubling."""
-    power, parts, size = {1: _U(base)}, {1: h}, 1
-    while 2 * size <= k:
-        half = parts[size]
-        parts[2 * size] = half[: len(half) - size] * power[size] + half[size:]
-        power[2 * size] = _U(int(power[size]) ** 2 % (1 << 64))
-        size *= 2
-    out, done = parts[size], size
-    while done < k:
-        step = 1 << ((k - done).bit_length() - 1)
-        n = len(h) - done - step + 1
-        out = out[:n] * power[step] + parts[step][done : done + n]
-        done += step
-    return out
-
-
 def _sliding_min(g: np.ndarray, k: int) -> np.ndarray:
     size = 1
     while 2 * size <= k:
@@ -77,11 +43,11 @@ def _sliding_min(g: np.ndarray, k: int) -> np.ndarray:
 
 def _windows(words: list[bytes], window: int, phrase: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, anchor) of every window, and the hash of every phrase; the text has at least ``window`` words."""
-    h = _hashes.of(words)
-    g = _rolling(h, phrase, 0xD6E8FEB86659FD93)
+    h = word_hashes(words)
+    g = rolling(h, phrase, 0xD6E8FEB86659FD93)
     g = (g ^ (g >> _U(32))) * _U(0x9E3779B97F4A7C15)
     g ^= g >> _U(29)
-    return _rolling(h, window, 0xA0761D6478BD642F), _sliding_min(g, window - phrase + 1), g
+    return rolling(h, window, 0xA0761D6478BD642F), _sliding_min(g, window - phrase + 1), g
 
 
 def _rows(anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
