@@ -8,6 +8,7 @@ training rows that the fit does not see and moves the score so that 0.5 is that
 
 from __future__ import annotations
 
+import pickle
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -29,6 +30,8 @@ LANGUAGES = [*FUNCTION_WORDS, "other"]
 FOLDS = 5
 #: Rows of either class that training takes at most.
 TOXIC_ROWS, CLEAN_ROWS = 2000, 3000
+#: Bytes of whole texts that training takes at most.
+TRAIN_BYTES = 64 << 20
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 18, 12, 6, (1, 2, 3)
 PAD = max(WIDTHS) - 1
 PREFIX = 4
@@ -82,6 +85,18 @@ class Model:
     out_bias: float
     thresholds: np.ndarray  # per language, in logits
 
+    def packed(self) -> bytes:
+        """The model without the rows of words that training never saw."""
+        used = np.flatnonzero(self.table.any(axis=1))
+        return pickle.dumps((used.astype(np.int32), self.table[used], self.filters, self.bias, self.out, self.out_bias, self.thresholds))
+
+    @staticmethod
+    def unpacked(data: bytes) -> Model:
+        used, rows, *rest = pickle.loads(data)
+        table = np.zeros((BUCKETS + 1, DIM), np.float32)
+        table[used] = rows
+        return Model(table, *rest)
+
     def maps(self, x: np.ndarray) -> np.ndarray:
         """(words, all filters): each filter's value on the words from each position on."""
         parts = []
@@ -273,24 +288,55 @@ def _language(words: Vocabulary, text: bytes | None) -> int:
     return int(seen.argmax()) if seen.max() > 0 else len(FUNCTION_WORDS)
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Fit on a bounded sample of the labelled rows outside the held-out fold, in the order of a hash of the id.
+def _unfit() -> Model:
+    """Without rows of both classes every text scores below 0.5."""
+    n = FILTERS * len(WIDTHS)
+    return Model(np.zeros((BUCKETS + 1, DIM), np.float32), [np.zeros((w, DIM, FILTERS), np.float32) for w in WIDTHS], np.zeros(n, np.float32), np.zeros(n, np.float32), -2.0, np.zeros(len(LANGUAGES)))
+
 
-    At most ``TOXIC_ROWS`` toxic and ``CLEAN_ROWS`` clean rows reach the driver.  Rows without a label, or whose
-    label is neither 0 nor 1, teach nothing.  Without rows of both classes every text scores below 0.5.
+def sampled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, toxic, text): the bounded sample of labelled rows outside the held-out fold that training takes.
+
+    Of either class the first ``TOXIC_ROWS`` or ``CLEAN_ROWS`` labelled ids in the order of a hash; of rows that
+    repeat an id, the least text.  Rows without a label, or whose label is neither 0 nor 1, are not taken.
     """
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(fold != 0)
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    sample = usable.where("toxic = 1").orderBy(*order).limit(TOXIC_ROWS).unionAll(usable.where("toxic = 0").orderBy(*order).limit(CLEAN_ROWS))
-    sample = sample.select(F.col("doc_id").alias("__id"), F.col("toxic").alias("__toxic"))
-    rows = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).cast("binary").alias("__text")).join(F.broadcast(sample), F.col("__doc") == F.col("__id"))
-    found = sorted((r["__id"], bytes(r["__text"] or b""), r["__toxic"]) for r in rows.select("__id", "__text", "__toxic").toLocalIterator())
-    texts, toxic = [r[1] for r in found], np.array([r[2] for r in found], dtype=np.int64)
-    if len(set(toxic.tolist())) < 2:
-        return Model(np.zeros((BUCKETS + 1, DIM), np.float32), [np.zeros((w, DIM, FILTERS), np.float32) for w in WIDTHS], np.zeros(FILTERS * len(WIDTHS), np.float32), np.zeros(FILTERS * len(WIDTHS), np.float32), -2.0, np.zeros(len(LANGUAGES)))
-    calibrate = np.array([xxhash.xxh64_intdigest(str(r[0]), SEED) % 4 == 0 for r in found])
-    return fit(texts, toxic, calibrate)
+    chosen = usable.where("toxic = 1").orderBy(*order).limit(TOXIC_ROWS).unionAll(usable.where("toxic = 0").orderBy(*order).limit(CLEAN_ROWS))
+    chosen = chosen.select(F.col("doc_id").alias("label_id"), F.col("toxic").cast("long").alias("toxic"))
+    texts = docs.select(F.col(id_col).alias("text_id"), F.col(text_col).cast("binary").alias("text"))
+    found = texts.join(F.broadcast(chosen), F.col("text_id") == F.col("label_id"))
+    return found.groupBy(F.col("label_id").cast("long").alias("id"), "toxic").agg(F.min(F.coalesce("text", F.lit(b""))).alias("text"))
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bytes: int = TRAIN_BYTES) -> Model:
+    """Fit on a bounded sample of the labelled rows outside the held-out fold, in the order of a hash of the id.
+
+    At most ``TOXIC_ROWS`` toxic and ``CLEAN_ROWS`` clean rows, and of these no more than ``max_bytes`` of whole
+    texts, are fit in one task; only the model reaches the driver.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, texts, toxic, held = [], [], [], 0
+        for batch in batches:
+            for own, label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                size = len(text.as_buffer())
+                if held + size <= max_bytes:
+                    ids.append(own)
+                    texts.append(text.as_py())
+                    toxic.append(label)
+                    held += size
+        order = sorted(range(len(ids)), key=ids.__getitem__)
+        marks = np.array([toxic[k] for k in order], dtype=np.int64)
+        if len(set(toxic)) < 2:
+            return
+        calibrate = np.array([xxhash.xxh64_intdigest(str(ids[k]), SEED) % 4 == 0 for k in order])
+        yield pa.RecordBatch.from_arrays([pa.array([fit([texts[k] for k in order], marks, calibrate).packed()], pa.binary())], names=["model"])
+
+    rows = sampled(docs, labels, id_col, text_col).repartition(1).sortWithinPartitions(F.xxhash64("id"), "id")
+    found = rows.select("id", "toxic", "text").mapInArrow(run, "model binary").collect()
+    return Model.unpacked(bytes(found[0]["model"])) if found else _unfit()
 
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
@@ -300,10 +346,10 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
     ``score_col`` must not be a column of ``docs``.
     """
     spark = docs.sparkSession
-    shipped = spark.sparkContext.broadcast(model)
+    shipped = spark.sparkContext.broadcast(model.packed())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = Scorer(shipped.value)
+        score = Scorer(Model.unpacked(shipped.value))
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
