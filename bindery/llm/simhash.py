@@ -95,7 +95,7 @@ def links(fps: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     at = anchored(fps)
     home = at.where("home").select("anchor", F.col("fp").alias("a"))
     near = at.select("anchor", F.col("fp").alias("b"))
-    return home.join(near, (home.anchor == near.anchor) & (F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= threshold)).select("a", "b")
+    return home.join(near.hint("merge"), (home.anchor == near.anchor) & (F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= threshold)).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, threshold: int = THRESHOLD) -> DataFrame:
