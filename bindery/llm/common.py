@@ -17,10 +17,12 @@ SPACE = r"[\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder below ``spark.checkpoint.dir``, which driver and executors share.
 
-    Only where that setting is absent (tests on one machine) a temporary folder takes its place.
+    Where that setting is absent, a temporary folder takes its place in local mode alone; a cluster must name one.
     """
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not top:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         top = "file://" + tempfile.mkdtemp(prefix="bindery-")
         spark.sparkContext.setCheckpointDir(top)
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -66,15 +68,28 @@ def keyed(df: DataFrame, columns: list[str], folder: str) -> DataFrame:
     return df.select(*columns, F.xxhash64(place["file_path"]).alias("_file"), place["row_index"].alias("_row"))
 
 
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """The names, each made longer until no column in ``taken`` has it in any case."""
+    held = {c.lower() for c in taken}
+    out = []
+    for name in names:
+        while name.lower() in held:
+            name += "_"
+        held.add(name.lower())
+        out.append(name)
+    return out
+
+
 def rows_at(df: DataFrame, places: DataFrame, how: str) -> DataFrame:
     """``df``, read from files, joined with ``places`` by their ``_file`` and ``_row``.
 
-    The other columns of ``places`` must not clash with those of ``df``.
+    The other columns of ``places`` must not clash with those of ``df``; see ``fresh``.
     """
     place = df.metadataColumn("_metadata")
-    own = df.select("*", F.xxhash64(place["file_path"]).alias("__own_file"), place["row_index"].alias("__own_row"))
-    there = places.withColumnsRenamed({"_file": "__at_file", "_row": "__at_row"})
-    return own.join(there, (F.col("__own_file") == F.col("__at_file")) & (F.col("__own_row") == F.col("__at_row")), how)
+    own_file, own_row, at_file, at_row = fresh([*df.columns, *places.columns], "own_file", "own_row", "at_file", "at_row")
+    own = df.select("*", F.xxhash64(place["file_path"]).alias(own_file), place["row_index"].alias(own_row))
+    there = places.withColumnsRenamed({"_file": at_file, "_row": at_row})
+    return own.join(there, (F.col(own_file) == F.col(at_file)) & (F.col(own_row) == F.col(at_row)), how).drop(own_file, own_row, at_file, at_row)
 
 
 def n_partitions(spark: SparkSession) -> int:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bindery.llm.common import WORD, keyed, on_files, rows_at, shared_dir, written
+from bindery.llm.common import WORD, fresh, keyed, on_files, rows_at, shared_dir, written
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -83,13 +83,13 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     words to share and stay once.
     """
     docs = on_files(docs, shared_dir(docs.sparkSession, "mixing"))
-    taken = mix(docs, id_col, text_col, source_col, **settings).select("_file", "_row", F.col("size").alias("__size"), F.col("copies").alias("__copies"), F.col("extra").alias("__extra"))
-    joined = rows_at(docs, taken, "inner")
-    part = (F.col("__extra") > 0) & (F.col("__extra") < F.col("__size"))
-    n = F.when(F.col("__size") == 0, 1).otherwise(F.col("__copies") + (F.col("__extra") > 0).cast("int")).cast("int")
-    repeated = joined.withColumn("__n", n).where("__n > 0").withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__n"))))
-    first = F.array_join(F.slice(F.regexp_extract_all(text_col, F.lit(f"({WORD})"), 1), F.lit(1), F.col("__extra").cast("int")), " ")
-    text = F.when(part & (F.col("__k") == F.col("__n")), first).otherwise(F.col(text_col))
+    size, copies, extra, n, turn = fresh(docs.columns, "size", "copies", "extra", "n", "turn")
+    taken = mix(docs, id_col, text_col, source_col, **settings).select("_file", "_row", F.col("size").alias(size), F.col("copies").alias(copies), F.col("extra").alias(extra))
+    part = (F.col(extra) > 0) & (F.col(extra) < F.col(size))
+    times = F.when(F.col(size) == 0, 1).otherwise(F.col(copies) + (F.col(extra) > 0).cast("int")).cast("int")
+    repeated = rows_at(docs, taken, "inner").withColumn(n, times).where(F.col(n) > 0).withColumn(turn, F.explode(F.sequence(F.lit(1), F.col(n))))
+    first = F.array_join(F.slice(F.regexp_extract_all(text_col, F.lit(f"({WORD})"), 1), F.lit(1), F.col(extra).cast("int")), " ")
+    text = F.when(part & (F.col(turn) == F.col(n)), first).otherwise(F.col(text_col))
     return repeated.withColumn(text_col, text).select(*docs.columns)
 
 

@@ -3,7 +3,7 @@ import random
 import pytest
 
 #: Names that the operators use inside, as columns of the input.
-CLASHING = ("id", "fp", "_file", "_row", "kept", "score", "shard", "anchor", "size", "digest", "text_sha256", "node", "vector", "label", "root", "component_id", "target", "h", "spans", "base")
+CLASHING = ("id", "fp", "_file", "_row", "kept", "score", "shard", "anchor", "size", "digest", "text_sha256", "node", "vector", "label", "root", "component_id", "target", "h", "spans", "base", "n", "turn", "copies", "extra", "own_file", "at_row", "toxicity", "__n", "__size", "__k", "__toxicity", "__own_file", "few", "band", "leader")
 
 
 def strange(rng: random.Random) -> list[tuple]:
