@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import logging
+
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bindery.functions.text import nonblank
 
+logger = logging.getLogger(__name__)
+
 #: Thresholds of the metrics; percentages are lower bounds, duplicates upper bounds.
 THRESHOLDS = {
     "porcentaje_fechas_validas": 90.0,
@@ -70,6 +75,23 @@ def metrics(df: DataFrame, detail: DataFrame | None = None, columns: tuple[str,
     return row.join(F.broadcast(by))  # one row each
 
 
+def safe_metrics(metrics_row: DataFrame, df: DataFrame, columns: tuple[str, ...] = COLUMNS) -> DataFrame:
+    """The metrics, computed now; if that fails, the least that lets a run go on: row and null counts, and zeros."""
+    spark = df.sparkSession
+    try:
+        return spark.createDataFrame([metrics_row.first()], metrics_row.schema)
+    except PySparkException as e:
+        logger.warning("metrics failed, writing counts alone: %s", str(e).splitlines()[0])
+    try:
+        told = df.agg(F.count(F.lit(1)).alias("n"), *null_counts(df, columns)).first()
+    except PySparkException:
+        told = None
+    nulls = {c: told[f"nulls_{c}"] for c in columns} if told else {}
+    flat = (told["n"] if told else 0, nulls, *(0.0 for _ in FLAGS), 0.0, 0, 0, {})
+    kinds = ["filas_totales bigint", "nulos_por_campo map<string,bigint>", *(f"{c} double" for c in FLAGS), "completitud_promedio double", "duplicados_isbn13 bigint", "duplicados_book_id bigint", "filas_por_fuente map<string,bigint>"]
+    return spark.createDataFrame([flat], ", ".join(kinds))
+
+
 def assertions(metrics_row: DataFrame, thresholds: dict[str, float] | None = None) -> DataFrame:
     """(metric, value, threshold, passed) of each threshold that has a metric."""
     chosen = {k: v for k, v in (THRESHOLDS if thresholds is None else thresholds).items() if k in metrics_row.columns}

@@ -31,6 +31,17 @@ def best_by_fold(candidates: Column, listed_isbn: str = "listed_isbn13") -> Colu
     return F.reduce(candidates, F.get(candidates, F.lit(-1)), lambda b, c: F.when(better(b, c), c).otherwise(b))
 
 
+def best_by_walk(candidates: DataFrame, key: str, pos: str = "pos") -> DataFrame:
+    """Per key the candidate that ``best_by_fold`` ends with, in the order of ``pos``; a key's candidates are few.
+
+    Without a column ``listed_isbn13``, the best's ISBN is tested like any other's.
+    """
+    listed = candidates if "listed_isbn13" in candidates.columns else candidates.withColumn("listed_isbn13", F.col("isbn13"))
+    held = listed.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(pos, F.struct(*listed.columns).alias("row")))).alias("c"))
+    best = held.select(best_by_fold(F.transform("c", lambda x: x["row"])).alias("row"))
+    return best.select(*(F.col("row")[c].alias(c) for c in candidates.columns))
+
+
 def max_score(candidates: DataFrame, key: str) -> DataFrame:
     return candidates.groupBy(key).agg(F.max("score").alias("best_score"))
 

@@ -63,16 +63,21 @@ class _Rows(HTMLParser):
                         row[mark[1:]].append(data)
 
 
+def result_rows(page: str | None) -> list[dict]:
+    """The rows of a page's result tables."""
+    parser = _Rows("tableList")
+    parser.feed(page or "")
+    parser.close()
+    return parser.rows
+
+
 @udtf(returnType="pos int, title string, author string, minirating string, href string, row_text string")
 class ResultRows:
     """The result rows of a search page."""
 
     def eval(self, html: str) -> Iterator[tuple]:
-        parser = _Rows("tableList")
-        parser.feed(html or "")
-        parser.close()
         told = lambda x: None if x is None else "".join(x).strip()
-        for k, row in enumerate(parser.rows):
+        for k, row in enumerate(result_rows(html)):
             yield k, told(row["bookTitle"]), told(row["authorName"]), told(row["minirating"]), row["href"], "".join(row["text"])
 
 

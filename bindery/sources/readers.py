@@ -48,18 +48,19 @@ def parse_items(bodies: Column) -> Column:
 
 
 def with_ordinal(df: DataFrame, name: str, *order: Column | str, by: list[str] | None = None) -> DataFrame:
-    """A 1-based string ordinal in an explicit order, per group where ``by`` names one.
+    """A 1-based string ordinal in an explicit, unique order, per group where ``by`` names one; see ``running_total``."""
+    return numbered(df, name, *order, by=by).withColumn(name, F.col(name).cast("string"))
 
-    Without a group the order is global; see ``running_total``.
-    """
-    if by:
-        return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("string"))
-    return numbered(df, name, *order).withColumn(name, F.col(name).cast("string"))
+
+def numbered(df: DataFrame, name: str, *order: Column | str, by: list[str] | None = None) -> DataFrame:
+    """A 1-based row number in an explicit, unique order, global or per group, without a task that holds a group."""
+    return running_total(df, name, F.lit(1).cast("bigint"), *order, by=by)
 
 
-def numbered(df: DataFrame, name: str, *order: Column | str) -> DataFrame:
-    """A 1-based global row number in an explicit, unique order, without a single-partition window."""
-    return running_total(df, name, F.lit(1).cast("bigint"), *order)
+def scan_order(df: DataFrame) -> DataFrame:
+    """``df``, read from files, with ``_csv_row``: its rows numbered from 1 by file and place in the file."""
+    placed = df.select("*", F.col("_metadata.file_path").alias("_scan_file"), F.monotonically_increasing_id().alias("_scan_row"))
+    return numbered(placed, "_csv_row", "_scan_file", "_scan_row").drop("_scan_file", "_scan_row")
 
 
 def tagged(df: DataFrame, source: str, file: str | None = None) -> DataFrame:
@@ -67,16 +68,20 @@ def tagged(df: DataFrame, source: str, file: str | None = None) -> DataFrame:
     return df.withColumns({"source_name": F.lit(source), "source_file": F.lit(file) if file else F.col("_metadata.file_name")})
 
 
-def running_total(df: DataFrame, name: str, value: Column, *order: Column | str) -> DataFrame:
-    """The global running sum of a value in an explicit, unique order.
+def running_total(df: DataFrame, name: str, value: Column, *order: Column | str, by: list[str] | None = None) -> DataFrame:
+    """The running sum of a value in an explicit, unique order, global or per group of the columns ``by``.
 
-    Rows are dealt to ranges and written once, so that the ranges are the same wherever they are used; sums run
-    within a range, and the sums of earlier ranges, one row for each range, are added.
+    Rows are dealt to ranges of group and order and written once, so that the ranges are the same wherever they are
+    used and a large group spreads over many.  Sums run within a range; the sums of the group's earlier ranges, one
+    row for each range and group that meet, are added.
     """
+    groups = [F.struct(*by).alias("__g")] if by else [F.struct(F.lit(0).alias("all")).alias("__g")]
     cols = [F.col(o) if isinstance(o, str) else o for o in order]
-    ranged = stored(df.withColumn("__v", value).repartitionByRange(*cols).withColumn("__part", F.spark_partition_id()), "ranges")
-    sizes = ranged.groupBy("__part").agg(F.sum("__v").alias("__n"))
-    before = sizes.select(F.col("__part").alias("__p"), F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    within = F.sum("__v").over(Window.partitionBy("__part").orderBy(*cols).rowsBetween(Window.unboundedPreceding, 0))
+    keyed = df.select("*", value.alias("__v"), *groups)
+    ranged = stored(keyed.repartitionByRange(F.col("__g"), *cols).withColumn("__part", F.spark_partition_id()), "ranges")
+    sizes = ranged.groupBy("__g", "__part").agg(F.sum("__v").alias("__n"))
+    earlier = Window.partitionBy("__g").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select(F.col("__g").alias("__h"), F.col("__part").alias("__p"), F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    within = F.sum("__v").over(Window.partitionBy("__g", "__part").orderBy(*cols).rowsBetween(Window.unboundedPreceding, 0))
     summed = ranged.withColumn("__sum", within)
-    return summed.join(F.broadcast(before), F.col("__part") == F.col("__p")).select(*df.columns, (F.col("__sum") + F.col("__before")).alias(name))  # one row for each range
+    return summed.join(before, (F.col("__g") == F.col("__h")) & (F.col("__part") == F.col("__p"))).select(*df.columns, (F.col("__sum") + F.col("__before")).alias(name))
