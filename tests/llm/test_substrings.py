@@ -45,11 +45,37 @@ def test_spans(spark):
     assert found == {1: [(1, 4)], 2: [(1, 4)]}
 
 
-def test_automaton_finds_phrases_in_other_texts():
-    """A window confirmed in one text is located in another of its chunk, whatever starts that one has."""
-    texts = [b"a b c d".split(), b"q a b c r".split()]
-    covered = substrings.locate(texts, [np.array([0]), np.zeros(0, dtype=np.int64)], window=3)
-    assert [c.tolist() for c in covered] == [[True, True, True, False], [False, True, True, True, False]]
+def test_automaton_locates_what_no_text_named():
+    """A passage read in one text is located in every other text of the shard, whatever was sent for those."""
+    texts = [b"a b c d".split(), b"q a b c r a b c".split(), b"a b x".split()]
+    covered = substrings.locate(texts, [(0, 0), (0, 1), (0, 2)], [(b"a b c".split(), (0, 0, 0))], window=3)
+    assert [c.tolist() for c in covered] == [[False] * 4, [False, True, True, True, False, True, True, True], [False] * 3]
+    covered = substrings.locate(texts, [(0, 0), (0, 1), (0, 2)], [(b"a b c".split(), (0, 0, 0)), (b"a b c".split(), (0, 1, 1))], window=3)
+    assert covered[0].tolist() == [True, True, True, False] and covered[1].sum() == 6
+
+
+def test_passage_is_covered_end_to_end():
+    words = [str(k).encode() for k in range(20)]
+    for n in range(3, 20):
+        covered = substrings.locate([words], [(0, 0)], [(words[1 : 1 + n], (5, 5, 0))], window=3)
+        assert covered[0].tolist() == [False, *[True] * min(n, 19), *[False] * max(0, 19 - n)]
+
+
+def test_segments_name_another_place():
+    file, row, start = np.array([1, 1, 2]), np.array([4, 5, 0]), np.array([0, 7, 3])
+    hashes = np.array([10, 11, 12, 10, 11, 99, 10])
+    found = substrings._segments(file, row, start, np.array([3, 3, 1]), hashes)
+    assert [tuple(int(c[k]) for c in found) for k in range(len(found[0]))] == [(1, 4, 0, 1, 2, 0, 3), (1, 4, 1, 1, 1, 5, 8), (1, 5, 7, 2, 1, 4, 0), (2, 0, 3, 1, 1, 4, 0)]
+
+
+@pytest.mark.parametrize("hot", [1, 2000])
+def test_collisions_remove_nothing(spark, hot):
+    """All windows that share a phrase have one hash here; none of them recurs."""
+    rng = random.Random(2)
+    phrase = [f"p{k}" for k in range(10)]
+    rows = [(k, " ".join([*(f"w{rng.random()}" for _ in range(30)), *phrase, *(f"w{rng.random()}" for _ in range(30))])) for k in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["n_removed"] for r in substrings.remove_repeats(df, hot=hot, bits=1).collect()} == {0}
 
 
 def test_empty(empty):
