@@ -11,6 +11,7 @@ suffices; if it never does, all pairs are compared.  Edges below the threshold a
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +23,8 @@ from bindery.llm.common import free_shuffles, keyed, shared_dir, written
 from bindery.llm.components import components
 from bindery.operators.skew import join_aggregated
 
+logger = logging.getLogger(__name__)
+
 THRESHOLD = 0.95
 #: Neighbours to a list; vectors to a leaf and to a block; trees; rounds; share of lists that may still change.
 K, LEAF, BLOCK, TREES, ROUNDS, STILL = 8, 128, 512, 4, 4, 0.002
@@ -336,26 +339,18 @@ def _audit(nodes: DataFrame, roots: DataFrame, links: DataFrame, threshold: floa
     return min(sum(x) / len(x) if x else 1.0 for x in shares)
 
 
-def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, k: int = K, trees: int = TREES, rounds: int = ROUNDS, recall: float = RECALL) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) of every row of ``vectors``.
+def _apart(nodes: DataFrame, folder: str) -> DataFrame:
+    """The nodes with a number for each: a hash of the digest, and of the digest's rank where several share one."""
+    shared = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("digest")).alias("digests")).where("n > 1").select("node", "digests")
+    if shared.isEmpty():
+        return nodes
+    told = nodes.join(shared.hint("merge"), "node", "left")
+    rank = F.array_position("digests", F.col("digest"))
+    return written(told.withColumn("node", F.when(rank > 1, F.xxhash64("digest", rank)).otherwise(F.col("node"))).drop("digests"), folder, "nodes-apart")
 
-    Links are pairs with cosine of ``threshold`` or more, in double precision.  Vectors that are null, empty,
-    zero, or hold null or non-finite components, and vectors whose length is not the commonest, link with
-    nothing.  Equal vectors are one node and link with each other.  component_id is the smallest id reachable;
-    a null id names no component unless all its ids are null.  Repeated rows are vectors of their own.  An empty
-    table gives an empty result; other columns are ignored.
-    """
-    spark = vectors.sparkSession
-    folder = shared_dir(spark, "neighbours")
-    rows = keyed(vectors, [id_col, vector_col], folder).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"), "_file", "_row")
-    rows = rows.withColumn("good", _usable(F.col("vector")))
-    sizes = rows.where("good").groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    digest = F.sha2(F.concat_ws(",", F.transform("vector", lambda x: (x + F.lit(0)).cast("string"))), 256)
-    good = F.col("good") & (F.size("vector") == (sizes["d"] if sizes else 0))
-    keys = written(rows.select("id", "_file", "_row", F.when(good, digest).alias("digest")), folder, "keys")
-    classes = rows.where(good).select(digest.alias("digest"), "id", "vector").groupBy("digest").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("weight"), F.first("vector").alias("vector"))
-    nodes = written(classes.select(F.xxhash64("digest").alias("node"), "digest", "low", "weight", "vector"), folder, "nodes")
-    n = nodes.count()
+
+def _linked(nodes: DataFrame, n: int, threshold: float, k: int, trees: int, rounds: int, recall: float, folder: str) -> DataFrame:
+    """(digest, n_links, component_id) of ``n`` nodes (node, digest, low, weight, vector) of one length."""
     slim = nodes.select("node", "vector")
     graph = None
 
@@ -374,16 +369,42 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         roots = written(components(linked, folder, f"components-{growth}"), folder, f"roots-{growth}")
         roots = _joined(graph, roots, slim, threshold, k_now, trees, rounds, folder, f"joined-{growth}")
         links = counted(roots, str(growth))
-        if _audit(nodes, roots, links, threshold, AUDIT) >= recall:
+        share = _audit(nodes, roots, links, threshold, AUDIT)
+        logger.info("share of audited vectors that have all their links: %.4f with lists of %d", share, k_now)
+        if share >= recall:
             break
     else:
         roots = written(components(_all_edges(slim, n, threshold, BLOCK), folder, "components-all"), folder, "roots-all")
         links = counted(roots, "all")
     told = nodes.join(roots, "node", "left").join(links, "node", "left").select("digest", "low", "weight", F.coalesce("root", "node").alias("root"), (F.coalesce("n_links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
     lowest = told.groupBy("root").agg(F.min("low").alias("component_id"))
-    told = join_aggregated(told, lowest, ["root"]).select("digest", "n_links", "component_id")
-    out = keys.join(written(told, folder, "told"), "digest", "left")
-    component = F.when(F.col("digest").isNull(), F.col("id")).otherwise(F.col("component_id"))
-    return out.select(F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    return join_aggregated(told, lowest, ["root"]).select("digest", "n_links", "component_id")
 
 
+def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, k: int = K, trees: int = TREES, rounds: int = ROUNDS, recall: float = RECALL) -> DataFrame:
+    """(vec_id, n_links, component_id, kept) of every row of ``vectors``.
+
+    Links are pairs of vectors of one length with cosine of ``threshold`` or more, in double precision.  Vectors
+    that are null, empty, zero, or hold null or non-finite components link with nothing.  Each length is searched
+    by itself, one after the other, so there should be few.  Equal vectors are one node and link with each other.
+    component_id is the smallest id reachable; a null id names no component unless all its ids are null.  Repeated
+    rows are vectors of their own.  An empty table gives an empty result; other columns are ignored.
+    """
+    spark = vectors.sparkSession
+    folder = shared_dir(spark, "neighbours")
+    rows = keyed(vectors, [id_col, vector_col], folder).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"), "_file", "_row")
+    good = _usable(F.col("vector"))
+    digest = F.sha2(F.concat_ws(",", F.transform("vector", lambda x: (x + F.lit(0)).cast("string"))), 256)
+    keys = written(rows.select("id", "_file", "_row", F.when(good, digest).alias("digest")), folder, "keys")
+    classes = rows.where(good).select(digest.alias("digest"), "id", "vector").groupBy("digest").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("weight"), F.first("vector").alias("vector"))
+    nodes = _apart(written(classes.select(F.xxhash64("digest").alias("node"), "digest", "low", "weight", "vector"), folder, "nodes"), folder)
+    sizes = {r["d"]: r["n"] for r in nodes.groupBy(F.size("vector").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy("d").collect()}
+    searched = [d for d, n in sizes.items() if n > 1]
+    alone = nodes.where(~F.size("vector").isin(searched)) if searched else nodes
+    told = alone.select("digest", (F.col("weight") - 1).alias("n_links"), F.col("low").alias("component_id"))
+    for d in searched:
+        own = nodes.where(F.size("vector") == d) if len(sizes) > 1 else nodes
+        told = told.unionAll(_linked(own, sizes[d], threshold, k, trees, rounds, recall, f"{folder}/length-{d}"))
+    out = keys.join(written(told, folder, "told").hint("merge"), "digest", "left")
+    component = F.when(F.col("digest").isNull(), F.col("id")).otherwise(F.col("component_id"))
+    return out.select(F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))

@@ -105,6 +105,24 @@ def test_repeated_rows_and_null_ids(spark):
     assert sorted((r["vec_id"] or -1, r["n_links"], r["component_id"]) for r in found) == [(-1, 2, 5), (5, 2, 5), (5, 2, 5), (7, 0, 7)]
 
 
+def test_each_length_is_searched(spark):
+    """Vectors link within their length, whichever is the commonest; one that is alone links with its copies."""
+    rng = np.random.default_rng(4)
+    hub = rng.normal(size=8)
+    rows = made(n=120) + [(2000 + k, (hub + rng.normal(scale=0.01, size=8)).tolist()) for k in range(12)] + [(3000, [1.0, 2.0, 3.0]), (3001, [1.0, 2.0, 3.0]), (3002, [5.0])]
+    found = {r["vec_id"]: r for r in run(spark, rows)}
+    links, _ = brute(rows[:-15])
+    assert [found[k]["n_links"] for k, _ in rows[:-15]] == links
+    assert [found[2000 + k]["n_links"] for k in range(12)] == [11] * 12 and {found[2000 + k]["component_id"] for k in range(12)} == {2000}
+    assert [(found[k]["n_links"], found[k]["component_id"]) for k in (3000, 3001, 3002)] == [(1, 3000), (1, 3000), (0, 3002)]
+
+
+def test_nodes_that_share_a_hash_are_told_apart(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a", 10), (1, "b", 11), (2, "c", 12), (1, "d", 13)], "node long, digest string, low long")
+    found = {r["digest"]: r["node"] for r in neighbours._apart(df, f"file://{tmp_path}").collect()}
+    assert len(set(found.values())) == 4 and found["a"] == 1 and found["c"] == 2
+
+
 def test_empty(spark):
     assert run(spark, []) == []
     assert [r["n_links"] for r in run(spark, ODD[:3])] == [0, 0, 0]
