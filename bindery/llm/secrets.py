@@ -3,6 +3,12 @@
 Everything here is DataFrame and SQL functions.  Two first-order models over the characters of tokens are
 trained from labelled samples, one on random strings and one on ordinary identifiers; a token of a text that is
 likelier under the first by more than a calibrated log-likelihood ratio is a span of kind ``markov``.
+
+Judged are whole runs of 20 or more characters of the alphabet with a digit, and within and beside them the parts
+between separators: of 12 or more with letters and digits, or of 20 or more letters with a capital inside.  The
+threshold of a part depends on its length.  Not judged are shorter parts, which have too few transitions to tell,
+digits alone, which are numbers and dates, and fewer or plain letters, which are words of some language far more
+often than keys.
 """
 
 from __future__ import annotations
@@ -21,6 +27,10 @@ HEX = r"[0-9a-f]{32,}"
 KINDS = ("assign", "access", "hex", "markov")
 #: Tokens that the models judge: long runs of one alphabet with a digit in them.
 TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
+#: Parts that the models judge: letters and digits, or many letters of both cases.
+PART = r"(?<![A-Za-z0-9])(?:(?=[A-Za-z]*+[0-9])(?=[0-9]*+[A-Za-z])[A-Za-z0-9]{12,}+|(?=[A-Za-z][a-z]*+[A-Z])(?=[A-Z]*+[a-z])[A-Za-z]{20,}+(?![0-9]))"
+#: The shortest part, and how many lengths share a threshold, up to ``LAST`` classes.
+LEAST, STEP, LAST = 12, 4, 6
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: Fixed words from which the sample of ordinary identifiers is put together.
 ORDINARY = """account action address allow amount array author background balance before block board border bucket buffer button
@@ -36,11 +46,11 @@ SAMPLES = 4000
 _BLOCK = 256
 
 
-def samples(spark: SparkSession, n: int = SAMPLES) -> DataFrame:
+def samples(spark: SparkSession, n: int = SAMPLES, seed: str = "sample") -> DataFrame:
     """(token, random): labelled samples by rule, half random strings and half ordinary identifiers."""
     words = F.array(*map(F.lit, ORDINARY))
-    pick = lambda k: F.element_at(words, (F.pmod(F.xxhash64("id", F.lit(k)), F.lit(len(ORDINARY))) + 1).cast("int"))
-    digest = F.sha2(F.concat(F.lit("sample"), F.col("id").cast("string")), 256)
+    pick = lambda k: F.element_at(words, (F.pmod(F.xxhash64("id", F.lit(k), F.lit(seed)), F.lit(len(ORDINARY))) + 1).cast("int"))
+    digest = F.sha2(F.concat(F.lit(seed), F.col("id").cast("string")), 256)
     packed = F.regexp_replace(F.base64(F.unhex(digest)), "=", "")
     size = F.pmod(F.xxhash64("id", F.lit(99)), F.lit(21)).cast("int") + 20
     drawn = F.element_at(F.array(F.substr(packed, F.lit(1), size), F.substr(F.translate(packed, "+/", "-_"), F.lit(1), size), F.substr(digest, F.lit(1), size), F.upper(F.substr(F.regexp_replace(packed, "[+/]", "7"), F.lit(1), size))), (F.pmod("id", F.lit(4)) + 1).cast("int"))
@@ -52,6 +62,46 @@ def samples(spark: SparkSession, n: int = SAMPLES) -> DataFrame:
     return ids.select(drawn.alias("token"), F.lit(1).alias("random")).unionAll(ids.select(named.alias("token"), F.lit(0).alias("random")))
 
 
+def part_samples(spark: SparkSession, n: int = SAMPLES, seed: str = "sample") -> DataFrame:
+    """(token, random): the same for parts without separators, from ``LEAST`` characters on."""
+    words = F.array(*map(F.lit, ORDINARY))
+    pick = lambda k: F.element_at(words, (F.pmod(F.xxhash64("id", F.lit(k), F.lit(seed)), F.lit(len(ORDINARY))) + 1).cast("int"))
+    digest = F.sha2(F.concat(F.lit(f"{seed} part"), F.col("id").cast("string")), 256)
+    packed = F.regexp_replace(F.base64(F.unhex(digest)), "[+/=]", "")
+    size = F.pmod(F.xxhash64("id", F.lit(99), F.lit(seed)), F.lit(25)).cast("int") + LEAST
+    drawn = F.substr(F.element_at(F.array(packed, F.lower(packed), F.upper(packed), digest), (F.pmod("id", F.lit(4)) + 1).cast("int")), F.lit(1), size)
+    number = F.pmod(F.xxhash64("id", F.lit(7), F.lit(seed)), F.lit(10_000)).cast("string")
+    camel = lambda m: F.array_join(F.transform(F.array(*(pick(k) for k in range(m))), F.initcap), "")
+    plain = lambda m: F.concat(*(pick(k) for k in range(m)))
+    date = F.concat(F.lit("20"), F.lpad(F.pmod("id", F.lit(40)).cast("string"), 2, "0"), F.lpad((F.pmod("id", F.lit(12)) + 1).cast("string"), 2, "0"), F.lpad(number, 8, "0"))
+    named = F.element_at(F.array(F.concat(camel(2), number), F.concat(plain(2), number), F.concat(camel(3), number), F.concat(F.upper(plain(2)), number), F.concat(plain(1), number, camel(1)), camel(4), plain(4), date), (F.pmod("id", F.lit(8)) + 1).cast("int"))
+    ids = spark.range(n)
+    both = ids.select(drawn.alias("token"), F.lit(1).alias("random")).unionAll(ids.select(named.alias("token"), F.lit(0).alias("random")))
+    return both.where(F.length("token") >= LEAST)
+
+
+def _length_class(token: Column) -> Column:
+    return F.least(F.floor((F.length(token) - LEAST) / STEP), F.lit(LAST - 1)).cast("int")
+
+
+def part_thresholds(labelled: DataFrame, table: list[float]) -> list[float]:
+    """Per class of lengths, the ratio above which a part counts as random, from labelled (token, random).
+
+    It lies midway between the lowest hundredth of random parts and the highest thousandth of ordinary ones, and not
+    below the latter: a wrong span costs more than a missed one.  A class without ordinary parts has the next one's.
+    """
+    ratio = _ratio(F.col("token"), _literal(table))
+    rows = labelled.groupBy(_length_class(F.col("token")).alias("k")).agg(F.percentile(F.when(F.col("random") == 1, ratio), 0.01).alias("low"), F.percentile(F.when(F.col("random") == 0, ratio), 0.999).alias("high")).collect()
+    found = {r["k"]: r for r in rows}
+    out, last = [], 0.0
+    for k in range(LAST):
+        r = found.get(k)
+        if r and r["high"] is not None:
+            last = r["high"] if r["low"] is None else max(r["high"], (r["low"] + r["high"]) / 2)
+        out.append(last)
+    return out
+
+
 def _place(char: Column) -> Column:
     return F.instr(F.lit(ALPHABET), char) - 1
 
@@ -140,23 +190,34 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", labelled: DataFrame | None = None) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", labelled: DataFrame | None = None, parts: DataFrame | None = None) -> DataFrame:
     """(doc_id, text, base, added) of every row of ``docs``: spans as (start, kind, end), kinds by number.
 
     ``base`` has the matches of the fixed patterns, each kind's leftmost and non-overlapping; ``added`` has the
-    tokens that the models call random and that overlap none of them.  A null text counts as empty and has no
+    tokens and parts of tokens that the models call random and that overlap none of them.  ``labelled`` and ``parts``
+    are other labelled samples of whole tokens and of parts than those made by rule.  A null text counts as empty and has no
     spans; repeated rows and null ids keep their rows; other columns are ignored; an empty table gives an empty
     result.  Rows are scanned where they are read, without a shuffle.
     """
-    table, threshold = train(samples(docs.sparkSession) if labelled is None else labelled)
+    spark = docs.sparkSession
+    table, threshold = train(samples(spark) if labelled is None else labelled)
+    limits = _literal(part_thresholds(part_samples(spark) if parts is None else parts, table))
     text = F.col("text")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     eight = lambda found: F.transform(F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2)), lambda g: F.length(g) >= 8)
     rows = rows.select("doc_id", "text", _spans(text, ASSIGN, 0, eight).alias("assign"), _spans(text, ACCESS, 1).alias("access"), _spans(text, HEX, 2).alias("hex"))
     judge = lambda found: F.transform(found, lambda t: t.rlike("[0-9]") & (_ratio(t, _literal(table)) > threshold))
-    rows = rows.select("doc_id", "text", "assign", "access", "hex", F.concat("assign", "access", "hex").alias("base"), _spans(text, TOKEN, 3, judge).alias("tokens"))
-    clear = F.filter("tokens", lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    return rows.select("doc_id", "text", "assign", "access", "hex", "base", F.when(F.size("tokens") > 0, clear).otherwise(F.col("tokens")).alias("added"))
+    partial = lambda found: F.transform(found, lambda t: _ratio(t, _literal(table)) > F.get(limits, _length_class(t)))
+    rows = rows.select("doc_id", "text", "assign", "access", "hex", F.concat("assign", "access", "hex").alias("base"), _spans(text, TOKEN, 3, judge).alias("tokens"), _spans(text, PART, 3, partial).alias("parts"))
+    rows = rows.withColumn("tokens", _clear("tokens", "base"))
+    rows = rows.withColumn("parts", _clear("parts", "base", "tokens"))
+    return rows.select("doc_id", "text", "assign", "access", "hex", "base", F.concat("tokens", "parts").alias("added"))
+
+
+def _clear(spans: str, *others: str) -> Column:
+    """The spans that overlap none of the others."""
+    held = F.concat(*others)
+    return F.when(F.size(spans) > 0, F.filter(spans, lambda t: ~F.exists(held, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))).otherwise(F.col(spans))
 
 
 def digests(found: DataFrame) -> DataFrame:
