@@ -5,10 +5,15 @@ identifier (smallest id), the content locator of its row (file and position) and
 Rows of a digest are combined before the shuffle, so a hot group of copies is one state update per task.
 Digests that were hit more than once are then checked on the full bytes, fetched by locator: rows whose bytes
 differ from the stable row's form groups of their own.
+
+With a folder for it, the state outlives the call: the next call's rows meet the digests of all earlier ones.
 """
 
 from __future__ import annotations
 
+import uuid
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,7 +29,7 @@ def normalised(text: Column) -> Column:
 
 
 def _stream(spark: SparkSession, source: str, folder: str, schema, max_bytes_per_trigger: int | None, max_files_per_trigger: int | None) -> DataFrame:
-    """(digest, n, rep): the state after all digests of the folder ``source``; each update is written once per batch."""
+    """(digest, n, rep): the state after all digests of the folders ``source``; each update is written once per batch."""
     own = spark.newSession()
     own.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
     own.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
@@ -47,23 +52,46 @@ def _stream(spark: SparkSession, source: str, folder: str, schema, max_bytes_per
     return updates.groupBy("digest").agg(F.max("n").alias("n"), F.min("rep").alias("rep"))
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_bits: int = 256, max_bytes_per_trigger: int | None = 64 << 30, max_files_per_trigger: int | None = None) -> DataFrame:
+def _earlier(spark: SparkSession, hits: DataFrame, files: str, text_col: str) -> DataFrame:
+    """(digest, rep_text) of stable rows of earlier calls, read at their locators."""
+    wanted = hits.select("digest", "rep_file", "rep_row").distinct()
+    known = spark.read.schema("_file long, path string").parquet(f"{files}/*").distinct()
+    paths = [unquote(r["path"]) for r in known.join(wanted.select(F.col("rep_file").alias("_file")).distinct(), "_file", "left_semi").select("path").collect()]
+    if not paths:
+        return hits.select("digest", F.lit("").alias("rep_text")).limit(0)
+    rows = spark.read.parquet(*paths)
+    place = rows.metadataColumn("_metadata")
+    rows = rows.select(F.xxhash64(place["file_path"]).alias("rep_file"), place["row_index"].alias("rep_row"), normalised(F.col(text_col)).alias("rep_text"))
+    return rows.join(wanted, ["rep_file", "rep_row"]).select("digest", "rep_text")
+
+
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_bits: int = 256, max_bytes_per_trigger: int | None = 64 << 30, max_files_per_trigger: int | None = None, state_dir: str | None = None) -> DataFrame:
     """(id, keep_id, group_size, kept, text_sha256, _file, _row) of every row of ``docs``.
 
     Texts are equal when identical after each run of white space became one space; null counts as empty.  Of
     equal texts, the row with the smallest id stays; null ids come last, and of repeated ids exactly one row
     stays, the first by locator.  An empty table gives an empty result; other columns are ignored.
     ``digest_bits`` below 256 makes digests collide, for tests of the check on full bytes.
+
+    ``state_dir``, a folder that driver and executors share, keeps the state: rows of this call are then also copies
+    of rows of earlier calls with that folder, whose files must still be there, and group sizes count those too.  A
+    later row of smaller id is kept although the earlier one was.  Of texts whose digests collide without being
+    equal to the stable row's, copies are found within a call.
     """
     spark = docs.sparkSession
-    folder = shared_dir(spark, "exact")
+    folder, call = shared_dir(spark, "exact"), f"call-{uuid.uuid4().hex}"
+    top = (state_dir or folder).rstrip("/")
+    docs = on_files(docs if docs.columns == [id_col, text_col] else docs.select(id_col, text_col), f"{top}/rows/{call}")
     source = keyed(docs, [id_col, text_col], folder).select(F.col(id_col).cast("long").alias("id"), normalised(F.col(text_col)).alias("text"), "_file", "_row")
-    digests = written(source.select("id", "_file", "_row", F.sha2("text", 256).alias("sha")).withColumn("digest", F.substring("sha", 1, digest_bits // 4)), folder, "digests")
+    digests = written(source.select("id", "_file", "_row", F.sha2("text", 256).alias("sha")).withColumn("digest", F.substring("sha", 1, digest_bits // 4)), top, f"digests/{call}")
     empty = digests.isEmpty()
-    state = digests.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "_file", "_row")).alias("rep")) if empty else _stream(spark, f"{folder}/digests", folder, digests.schema, max_bytes_per_trigger, max_files_per_trigger)
+    if state_dir and not empty:
+        path = docs.metadataColumn("_metadata")["file_path"]
+        written(docs.select(F.xxhash64(path).alias("_file"), path.alias("path")).distinct(), top, f"files/{call}")
+    state = digests.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "_file", "_row")).alias("rep")) if empty else _stream(spark, f"{top}/digests/*", top, digests.schema, max_bytes_per_trigger, max_files_per_trigger)
     groups = written(state, folder, "groups")
     rows = written(digests.join(groups, "digest"), folder, "grouped")
-    if not empty:
+    if not empty and not state_dir:
         delete(spark, f"{folder}/state")
         delete(spark, f"{folder}/updates")
     free_shuffles(spark)
@@ -73,6 +101,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     bodies = written(source.join(hits, ["_file", "_row"]), folder, "hits")
     is_rep = (F.col("_file") == F.col("rep_file")) & (F.col("_row") == F.col("rep_row"))
     reps = bodies.where(is_rep).select("digest", F.col("text").alias("rep_text"))
+    if state_dir and not empty:
+        here = bodies.where(is_rep).select("digest")
+        reps = reps.unionAll(written(_earlier(spark, hits.join(here, "digest", "left_anti"), f"{top}/files", text_col), folder, "earlier"))
     other = bodies.where(~is_rep).join(reps, "digest").where(F.col("text") != F.col("rep_text")).select("digest", "id", "text", "_file", "_row")
     other = written(other, folder, "other")
     place = F.struct(F.col("id").isNull().alias("no_id"), "id", "_file", "_row")
@@ -91,7 +122,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    docs = on_files(docs, shared_dir(docs.sparkSession, "exact"))
-    return rows_at(docs, exact_groups(docs, id_col, text_col).where("kept").select("_file", "_row"), "left_semi").select(*docs.columns)
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", state_dir: str | None = None) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns; rows are treated as by ``exact_groups``."""
+    docs = on_files(docs, shared_dir(docs.sparkSession, "exact") if state_dir is None else f"{state_dir.rstrip('/')}/rows/{uuid.uuid4().hex}")
+    return rows_at(docs, exact_groups(docs, id_col, text_col, state_dir=state_dir).where("kept").select("_file", "_row"), "left_semi").select(*docs.columns)
