@@ -13,6 +13,8 @@ MAX_EPOCHS = 2
 SEED = 42
 #: Documents to a bin, about: bins bound what one task sorts.
 BIN_ROWS = 1000
+#: Times that many rows make a bin large: it is cut by file and position.
+LARGE = 8
 _RANGE = 1 << 60
 
 
@@ -55,7 +57,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     met; the last of these is a fractional repetition of its first ``extra`` words.  So the words taken from a
     source equal its target, rounded, and no document exceeds ``max_epochs`` times its size.  A null source is a
     source of its own; null, empty and blank texts have size 0 and take 0; a null id takes part under one key;
-    repeated rows each count.  An empty table gives an empty result.  The order depends on seed and id alone.
+    repeated rows each count.  An empty table gives an empty result.  The order depends on seed and id alone, but for
+    bins that repeated or null ids make large, which are ordered by their rows' files and positions.
     """
     spark = docs.sparkSession
     folder = shared_dir(spark, "mixing")
@@ -67,11 +70,19 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     copies = F.when(F.col("source_size") > 0, F.floor(want / F.greatest(F.col("source_size"), F.lit(1)))).otherwise(0).cast("long")
     plan = sources.select(F.col("source").alias("s"), "source_size", "target", copies.alias("copies"), (want - copies * F.col("source_size")).alias("rest"), F.ceil(F.col("n") / BIN_ROWS).alias("bins"))
     placed = rows.join(plan, F.col("source").eqNullSafe(F.col("s"))).withColumn("bin", F.floor(F.col("h") / (F.lit(_RANGE) / F.col("bins"))))
-    bins = placed.groupBy(F.col("s").alias("s2"), F.col("bin").alias("bin2")).agg(F.sum("size").alias("sum"))
-    before = Window.partitionBy("s2").orderBy("bin2").rowsBetween(Window.unboundedPreceding, -1)
-    bins = bins.select("s2", "bin2", F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("bin_from"))
-    within = Window.partitionBy("s", "bin").orderBy("h", "id", "_file", "_row").rowsBetween(Window.unboundedPreceding, -1)
-    told = placed.withColumn("before", F.coalesce(F.sum("size").over(within), F.lit(0))).join(bins, F.col("s").eqNullSafe(F.col("s2")) & (F.col("bin") == F.col("bin2")))
+    sizes = written(placed.groupBy(F.col("s").alias("s2"), F.col("bin").alias("bin2")).agg(F.sum("size").alias("sum"), F.count(F.lit(1)).alias("rows")), folder, "bins")
+    placed, sizes = placed.withColumn("sub", F.lit(0).cast("long")), sizes.withColumn("sub2", F.lit(0).cast("long"))
+    large = sizes.where(F.col("rows") > LARGE * BIN_ROWS)
+    if not large.isEmpty():
+        cuts = large.select(F.col("s2").alias("s3"), F.col("bin2").alias("bin3"), F.ceil(F.col("rows") / BIN_ROWS).alias("cuts")).hint("merge")
+        spread = F.pmod(F.xxhash64("_file", "_row", F.lit(seed)), F.lit(_RANGE))
+        cut = placed.join(cuts, F.col("s").eqNullSafe(F.col("s3")) & (F.col("bin") == F.col("bin3")), "left")
+        placed = cut.withColumn("h", F.when(F.col("cuts").isNull(), F.col("h")).otherwise(spread)).withColumn("sub", F.when(F.col("cuts").isNull(), 0).otherwise(F.floor(F.col("h") / (F.lit(_RANGE) / F.col("cuts"))))).drop("s3", "bin3", "cuts")
+        sizes = placed.groupBy(F.col("s").alias("s2"), F.col("bin").alias("bin2"), F.col("sub").alias("sub2")).agg(F.sum("size").alias("sum"))
+    before = Window.partitionBy("s2").orderBy("bin2", "sub2").rowsBetween(Window.unboundedPreceding, -1)
+    bins = sizes.select("s2", "bin2", "sub2", F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("bin_from"))
+    within = Window.partitionBy("s", "bin", "sub").orderBy("h", "id", "_file", "_row").rowsBetween(Window.unboundedPreceding, -1)
+    told = placed.withColumn("before", F.coalesce(F.sum("size").over(within), F.lit(0))).join(bins, F.col("s").eqNullSafe(F.col("s2")) & (F.col("bin") == F.col("bin2")) & (F.col("sub") == F.col("sub2")))
     extra = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("bin_from") - F.col("before")))
     return told.withColumn("extra", extra.cast("long")).select("id", "size", "source", "source_size", "target", (F.col("copies") * F.col("size") + F.col("extra")).alias("taken"), "copies", "extra", "_file", "_row")
 

@@ -22,6 +22,8 @@ END = 0
 #: Width of the model whose cost is estimated: per token, linear work is 6 * WIDTH times one attended position.
 WIDTH = 1024
 SHARD_BYTES = 2_500_000
+#: Shards to a task, about.
+TASK_SHARDS = 4
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -75,8 +77,8 @@ def packed(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
 
     Each document is its ids by the tokenizer file and ``end``.  A null or empty text is ``end`` alone; repeated
     rows are documents of their own; a null id stays null; other columns are ignored.  An empty table gives no
-    pieces.  Rows are dealt by position, so no id makes a shard large; a very long text is held whole in one
-    task, as its ids.
+    pieces.  Rows are dealt by position, so no id makes a shard large, and there are as many tasks as shards ask
+    for; repeated and null ids are ordered by their ids.  A very long text is held whole in one task, as its ids.
     """
     total = docs.agg(F.sum(F.coalesce(F.octet_length(text_col), F.lit(0)) + 1)).first()[0] or 0
     shards = max(1, -(-total // shard_bytes))
@@ -92,7 +94,7 @@ def packed(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
 
     def pack(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         shard, dtype = key[0].as_py(), encoder(tokenizer).dtype
-        rows = table.sort_by([("id", "ascending")]) if table.num_rows > 1 else table
+        rows = table.sort_by([("id", "ascending"), ("ids", "ascending")]) if table.num_rows > 1 else table
         doc_ids = rows.column("id").to_pylist()
         ids = [np.frombuffer(x.as_py(), dtype).astype("<u4") for x in rows.column("ids")]
         out: list[list[int]] = [[], [], [], [], [], [], []]
@@ -103,4 +105,5 @@ def packed(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
 
     shard = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards))
     rows = docs.select(shard.alias("shard"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(encode, "shard long, id long, ids binary").groupBy("shard").applyInArrow(pack, PIECES)
+    encoded = rows.mapInArrow(encode, "shard long, id long, ids binary")
+    return encoded.repartition(-(-shards // TASK_SHARDS), "shard").groupBy("shard").applyInArrow(pack, PIECES)
