@@ -112,7 +112,7 @@ def test_plan(sizes):
             assert offset == at
             at += took
         assert at <= 8
-    assert len(by_sequence) == -(-sum(sizes) // 8) or len(by_sequence) <= sum(s // 8 for s in sizes) + -(-sum(s % 8 for s in sizes) // 8)
+    assert len(by_sequence) == sum(s // 8 for s in sizes) + -(-sum(s % 8 for s in sizes) // 8)
 
 
 def test_plan_balances_cost():
