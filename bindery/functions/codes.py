@@ -73,6 +73,7 @@ def currency_of_country(c: Column | str) -> Column:
 
 def currency_of_link(c: Column | str) -> Column:
     """(currency, country) by the top-level domain of an address."""
+    # Fixed value: the country's part of an address.
     domain = F.upper(F.regexp_extract(col(c), r"https?://(?:www\.)?[^/]+\.([a-z]{2,3})(?:/|$)", 1))
     code = _looked_up(COUNTRIES, domain)
     return F.struct(code.alias("currency"), F.when(code.isNotNull(), domain).alias("country"))
@@ -108,6 +109,7 @@ def page_price(html: Column | str) -> Column:
     h = col(html)
     meta = F.regexp_extract(h, r"""(?is)<meta\b(?=[^>]*\bitemprop=["']price["'])[^>]*\bcontent=["']([^"']*)["']""", 1)
     by_meta = F.replace(F.regexp_replace(meta, "[^0-9.,-]", ""), F.lit(","), F.lit(".")).try_cast("double")
+    # A symbol before an amount, and the classes of price elements.
     marked = r"([€£¥R$])\s?([0-9]+[0-9.,]*)"
     amount = lambda text: F.replace(F.regexp_extract(text, marked, 2), F.lit(","), F.lit(".")).try_cast("double")
     classed = F.regexp_replace(F.regexp_extract(h, r"""(?is)class=["'][^"']*\b(?:buyButton|price|retailPrice|purchase)\b[^"']*["'][^>]*>(.*?)</""", 1), "<[^>]*>", "")

@@ -47,6 +47,7 @@ def _plain(s: Column) -> Column:
     return F.trim(F.replace(bare, F.lit(","), F.lit(" ")))
 
 
+#: The shapes of dates that count.
 _DASHED = r"^(\d{4})-(\d{1,2})-(\d{1,2})$"
 _NUMBERS = r"^(\d{4})(?:[-/](\d{1,2})(?:[-/](\d{1,2}))?)?$"
 _AMERICAN = r"^([A-Za-z]+)\s+(\d{1,2})\s+(\d{4})$"
@@ -91,5 +92,6 @@ def year_or(c: Column | str, missing: int = -1) -> Column:
 
 def published(c: Column | str) -> Column:
     """The date that follows ``Published`` in a text, by three patterns in turn."""
+    # The three patterns.
     patterns = (r"Published\s+([A-Za-z]+\s+\d{1,2}(?:st|nd|rd|th)?,?\s*\d{4})", r"Published\s+([A-Za-z]+\s+\d{4})", r"Published\s+(\d{4})")
     return F.coalesce(*(F.nullif(F.trim(F.regexp_extract(col(c), p, 1)), F.lit("")) for p in patterns))

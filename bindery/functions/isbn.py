@@ -77,6 +77,7 @@ def extract(c: Column | str) -> Column:
     Digits, hyphens and spaces run together, so numbers side by side are lost.
     """
     text = F.coalesce(col(c), F.lit(""))
+    # Where a text may name ISBNs.
     thirteen = F.filter(F.transform(F.regexp_extract_all(text, F.lit(r"\b(97[89][\d\-\s]{9,}\d)\b"), 1), clean), _valid13)
     ten = F.filter(F.transform(F.regexp_extract_all(text, F.lit(r"\b(\d[\d\-\s]{8,}[\dxX])\b"), 1), clean), _valid10)
     both = let(ten, lambda found: F.concat(found, F.transform(found, _to13)))
