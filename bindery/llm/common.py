@@ -12,6 +12,8 @@ from pyspark.sql.utils import AnalysisException
 #: Words are runs of anything but ASCII white space; ``bytes.split()`` cuts at the same six bytes.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
+#: Intermediate tables need no success mark; on a local file system each costs the driver a process.
+UNMARKED = {"mapreduce.fileoutputcommitter.marksuccessfuljobs": "false"}
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -30,7 +32,7 @@ def shared_dir(spark: SparkSession, name: str) -> str:
 
 def written(df: DataFrame, folder: str, name: str) -> DataFrame:
     """Write a table into the shared folder and read it again: cuts the lineage, survives lost executors."""
-    df.write.mode("overwrite").parquet(path := f"{folder}/{name}")
+    df.write.mode("overwrite").options(**UNMARKED).parquet(path := f"{folder}/{name}")
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -19,14 +19,14 @@ def _nearest(edges: DataFrame) -> DataFrame:
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = edges.select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))))
     return _nearest(both).where("b > a").select(F.col("b").alias("a"), F.least("a", "low").alias("b")).where("a <> b").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    star = _nearest(down)
-    return star.select(F.col("b").alias("a"), F.col("low").alias("b")).unionAll(star.select("a", F.col("low").alias("b"))).where("a <> b").distinct()
+    to_low = F.array(F.struct(F.col("b").alias("a"), F.col("low").alias("b")), F.struct("a", F.col("low").alias("b")))
+    return _nearest(down).select(F.inline(to_low)).where("a <> b").distinct()
 
 
 def components(edges: DataFrame, folder: str, name: str = "components", max_rounds: int = 60) -> DataFrame:

@@ -17,7 +17,7 @@ from urllib.parse import unquote
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bindery.llm.common import delete, free_shuffles, keyed, on_files, rows_at, shared_dir, written
+from bindery.llm.common import UNMARKED, delete, free_shuffles, keyed, on_files, rows_at, shared_dir, written
 
 #: Runs that one space would not equal; the others need no replacement.
 _UNEVEN = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
@@ -45,7 +45,7 @@ def _stream(spark: SparkSession, source: str, folder: str, schema, max_bytes_per
     state = reader.parquet(source).groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("rep"))
 
     def write(batch: DataFrame, k: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/updates/batch={k}")
+        batch.write.mode("overwrite").options(**UNMARKED).parquet(f"{folder}/updates/batch={k}")
 
     state.writeStream.outputMode("update").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
     updates = spark.read.schema(state.schema).parquet(f"{folder}/updates")

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from bindery.llm.common import shared_dir
+from bindery.llm.common import UNMARKED, shared_dir
 from bindery.llm.encoding import encoder
 
 END = 2
@@ -209,7 +209,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     order = [F.col("id").asc_nulls_first(), F.xxhash64("text")]
-    rows.repartitionByRange(*order).sortWithinPartitions(*order, "text").mapInArrow(run, SHARDS).write.parquet(path)
+    rows.repartitionByRange(*order).sortWithinPartitions(*order, "text").mapInArrow(run, SHARDS).write.options(**UNMARKED).parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
