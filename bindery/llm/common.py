@@ -43,7 +43,11 @@ def delete(spark: SparkSession, path: str) -> None:
 
 
 def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished phases now, not when the driver next collects garbage."""
+    """Let Spark delete the shuffle files of finished phases now.
+
+    Its cleaner waits until the driver's collector finds that nothing refers to a shuffle, by itself every half hour,
+    and until then the files of all phases lie side by side on the executors' disks.
+    """
     import gc
 
     gc.collect()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bindery.llm.common import written
+from bindery.llm.common import delete, written
 from bindery.operators.skew import join_aggregated
 
 
@@ -33,7 +33,7 @@ def components(edges: DataFrame, folder: str, name: str = "components", max_roun
     """(node, root) of every node that has an edge; root is the smallest node reachable.
 
     ``edges`` has two integer columns without nulls.  Each round is written to the shared folder,
-    so lineage stays short; only a count and a checksum of a round reach the driver.  The rounds grow with
+    so lineage stays short, and replaces the one before it; only its count and checksum reach the driver.  The rounds grow with
     the logarithm of the longest chain.  A hub's rows are joined with one minimum, which Spark can split.
     """
     a, b = edges.columns
@@ -41,6 +41,7 @@ def components(edges: DataFrame, folder: str, name: str = "components", max_roun
     seen = None
     for k in range(1, max_rounds + 1):
         now = written(_small_star(_large_star(now)), folder, f"{name}-{k}")
+        delete(now.sparkSession, f"{folder}/{name}-{k - 1}")
         mark = now.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
         if mark == seen:
             break

@@ -123,6 +123,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", state_dir: str | None = None) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; rows are treated as by ``exact_groups``."""
+    """The rows of ``docs`` that stay, with all their columns.
+
+    Null texts count as empty, of repeated ids one row stays, and an empty table stays empty, as by ``exact_groups``;
+    texts of any length are read whole.
+    """
     docs = on_files(docs, shared_dir(docs.sparkSession, "exact") if state_dir is None else f"{state_dir.rstrip('/')}/rows/{uuid.uuid4().hex}")
     return rows_at(docs, exact_groups(docs, id_col, text_col, state_dir=state_dir).where("kept").select("_file", "_row"), "left_semi").select(*docs.columns)

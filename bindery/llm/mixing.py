@@ -90,8 +90,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **settings) -> DataFrame:
     """The documents of the mix, with all their columns: a row for each whole or fractional repetition.
 
-    A fractional repetition holds the first words of its text, one space apart.  Documents of size 0 have no
-    words to share and stay once.
+    A fractional repetition holds the first words of its text, one space apart.  Documents of size 0 (null, empty or
+    blank texts) have no words to share and stay once; null sources and ids, repeated rows and empty tables are treated
+    as by ``mix``.  Columns of any name are kept.
     """
     docs = on_files(docs, shared_dir(docs.sparkSession, "mixing"))
     size, copies, extra, n, turn = fresh(docs.columns, "size", "copies", "extra", "n", "turn")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bindery.llm.common import free_shuffles, keyed, shared_dir, written
+from bindery.llm.common import delete, free_shuffles, keyed, shared_dir, written
 from bindery.llm.components import components
 from bindery.operators.skew import join_aggregated
 
@@ -174,6 +174,8 @@ def _descend(graph: DataFrame, nodes: DataFrame, n: int, k: int, rounds: int, fo
     before = None
     for r in range(rounds):
         graph = written(_nearest(graph.unionAll(_join_round(graph, nodes, k)), k), folder, f"{name}-{r}")
+        if r:
+            delete(nodes.sparkSession, f"{folder}/{name}-{r - 1}")
         free_shuffles(nodes.sparkSession)
         total = graph.agg(F.sum("sim")).first()[0] or 0.0
         if before is not None and total - before < STILL * n * k * 0.01:

@@ -122,6 +122,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, one of each group, with all their columns."""
+    """The rows of ``docs`` that stay, one of each group, with all their columns.
+
+    Nulls, empty and blank texts, ties, repeated rows and empty tables are treated as by ``near_duplicates``; texts of
+    any length are read whole.
+    """
     docs = on_files(docs, shared_dir(docs.sparkSession, "simhash"))
     return rows_at(docs, near_duplicates(docs, id_col, text_col).where("kept").select("_file", "_row"), "left_semi").select(*docs.columns)

@@ -215,6 +215,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document of the files at ``path``, decoded from the shards.
 
+    Null and repeated ids are documents like others, in the order in which they were written; files without documents
+    give no rows; a shard is decoded whole in one task, however long its documents are.
+
     ``start`` adds the ids of earlier partitions, one row per written partition, which is all that is broadcast
     and all that a window without a partition orders.
     """
