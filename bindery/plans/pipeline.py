@@ -155,8 +155,8 @@ def run_enrich(spark: SparkSession, client: http.Client, url: str, records: str,
     rows = readers.read_records(spark, records).withColumn("rec_id", F.col("input_index").cast("string"))
     q = F.coalesce(lookup.query_string(F.col("isbn13"), F.col("title"), F.col("author")), F.lit(settings.fallback_query()))
     asked = rows.select("rec_id", "input_index", "title", "author", "isbn13", q.alias("query"))
-    address = F.concat(F.lit(http.volumes_url(url, "", settings.max_results, settings.api_key, settings.country)), F.replace(F.url_encode("query"), F.lit("%2B"), F.lit("+")))
-    answers = shared.stored(http.called(asked.withColumn("url", F.when(F.col("query").isNotNull(), address)), client, pause=settings.rate_limit), "answers")
+    asked = asked.withColumn("url", lookup.request_url(F.col("query"), url, settings.max_results, settings.api_key, settings.country))
+    answers = shared.stored(http.called(asked, client, pause=settings.rate_limit), "answers")
     calls = answers.where("url is not null").select("ts_utc", F.lit("enrich").alias("step"), F.lit("google_books").alias("source_name"), F.col("url").alias("url_or_file"), "status_code", "duration_s", "user_agent", "notes")
     sinks.append_requests(calls, f"{out}/requests")
     items = answers.select("rec_id", F.posexplode(F.slice(readers.parse_items(F.col("body")), 1, settings.max_results)).alias("pos", "item"))

@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bindery.functions import codes, text
+from bindery.operators import quality
 from bindery.operators.shared import folder
 from bindery.plans import pipeline
 from bindery.plans.derived import isbn13, sql_isbn13, table
-from bindery.sources import html, lookup, readers, schemas, sinks
+from bindery.sources import html, http, lookup, readers, schemas, sinks
 from bindery.streaming import streams
 
 
@@ -105,6 +106,53 @@ def api_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.select("p_partkey", lookup.item_isbn13(F.col("item")).alias("any_isbn13"), *lookup.item_row(F.col("item"))).select("p_partkey", "gb_id", "any_isbn13", "isbn13", "authors", "language", "price_amount", "price_currency", "formato")
 
 
+def lookup_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses of lookups with their limit; none without a query."""
+    q = F.when(F.col("n_nationkey") % 5 != 0, F.concat(F.replace("n_name", F.lit(" "), F.lit("+")), F.lit("+inauthor:x")))
+    return table(spark, sf_dir, "nation").select("n_nationkey", lookup.request_url(q, "https://api.example/v", 5, country="ES").alias("url"))
+
+
+def paged_scan_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages that a scan reads until it has five records, after one failed call."""
+    failed = iter([True])
+
+    def fetch(page: int) -> str:
+        if page == 2 and next(failed, False):
+            raise OSError
+        return offline_page(page)
+
+    pages = http.search_pages(fetch, lambda page: len(html.result_rows(page)), max_records=5, max_pages=9, pause=0.0)
+    return spark.createDataFrame([(k, len(html.result_rows(page))) for k, page in pages], "page bigint, n bigint")
+
+
+def csv_row_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of a CSV file numbered by their place in it."""
+    sinks.write_csv(_volumes(spark, sf_dir).repartition(1).sortWithinPartitions(F.length("gb_id"), "gb_id"), path := folder(spark, "volumes"))
+    return readers.scan_order(readers.read_volumes(spark, path)).select("gb_id", F.col("_csv_row").alias("csv_row"))
+
+
+def sanitized_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values that a table cannot hold as they are, written and read again."""
+    k = F.col("event_id")
+    told = table(spark, sf_dir, "events").select("event_id", F.when(k % 7 == 0, F.lit(float("nan"))).otherwise(F.col("value")).alias("value"), F.create_map(F.lit("type"), "event_type").alias("held"), F.lit(None).alias("nothing"))
+    sinks.write_parquet(told, path := folder(spark, "sanitized"))
+    return spark.read.parquet(path).select("event_id", "value", "held", F.col("nothing").cast("string").alias("nothing"))
+
+
+def whole_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    given = F.when(k % 4 == 0, k.cast("string")).when(k % 4 == 1, F.concat(k.cast("string"), F.lit(".0"))).when(k % 4 == 2, F.concat(k.cast("string"), F.lit(".5"))).otherwise(F.col("p_name"))
+    return table(spark, sf_dir, "part").select("p_partkey", sinks.whole_number(given).alias("n"))
+
+
+def metrics_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics that fail, and the counts that are written in their place."""
+    books = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("book_id"), F.when(F.col("p_partkey") % 3 != 0, F.col("p_name")).alias("titulo"))
+    broken = books.agg(F.raise_error(F.lit("broken")).cast("bigint").alias("filas_totales"))
+    told = quality.safe_metrics(broken, books)
+    return told.select("filas_totales", F.col("nulos_por_campo")["titulo"].alias("nulls_titulo"), F.col("nulos_por_campo")["isbn13"].alias("nulls_isbn13"), "completitud_promedio")
+
+
 def html_title_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     title = F.nullif(F.regexp_extract("html", "(?is)<title>(.*?)</title>", 1), F.lit(""))
     links = F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), 1)
@@ -177,6 +225,12 @@ ORACLE = {
     "lookup_bodies": "SELECT n_nationkey, CASE WHEN n_nationkey % 5 <> 0 THEN CAST(length(n_name) AS BIGINT) END AS n FROM nation",
     "paged_scan": "SELECT 'Book ' || k AS title, 'Author ' || (k % 2) AS author, CAST('3.' || k AS DOUBLE) AS rating, CAST(k || '000' AS BIGINT) AS ratings_count, 'https://site.example/b/' || k AS book_url FROM range(0, 4) t(k)",
     "api_items": f"SELECT p_partkey, CAST(p_partkey AS VARCHAR) AS gb_id, CASE WHEN p_partkey % 2 = 0 THEN {sql_isbn13('p_partkey')} ELSE {sql_isbn13('p_partkey', '979')} END AS any_isbn13, CASE WHEN p_partkey % 2 = 0 THEN {sql_isbn13('p_partkey')} END AS isbn13, p_type AS authors, 'en-US' AS language, p_retailprice AS price_amount, 'EUR' AS price_currency, 'BOOK' AS formato FROM part",
+    "lookup_urls": "SELECT n_nationkey, CASE WHEN n_nationkey % 5 <> 0 THEN 'https://api.example/v?maxResults=5&country=ES&q=' || replace(n_name, ' ', '+') || '+inauthor%3Ax' END AS url FROM nation",
+    "paged_scan_stop": "SELECT CAST(k AS BIGINT) AS page, CAST(3 AS BIGINT) AS n FROM range(1, 3) t(k)",
+    "csv_row_numbers": "SELECT 'g' || p_partkey AS gb_id, row_number() OVER (ORDER BY p_partkey) AS csv_row FROM part",
+    "sanitized_values": "SELECT event_id, CASE WHEN event_id % 7 <> 0 THEN value END AS value, '{\"type\":\"' || event_type || '\"}' AS held, CAST(NULL AS VARCHAR) AS nothing FROM events",
+    "whole_numbers": "SELECT p_partkey, CASE WHEN p_partkey % 4 < 2 THEN p_partkey END AS n FROM part",
+    "metrics_fallback": "SELECT count(*) AS filas_totales, count(*) FILTER (p_partkey % 3 = 0) AS nulls_titulo, count(*) AS nulls_isbn13, CAST(0 AS DOUBLE) AS completitud_promedio FROM part",
     "html_title_links": "SELECT page_id, nullif(regexp_extract(html, '<title>(.*?)</title>', 1, 's'), '') AS title, CAST(len(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) AS BIGINT) AS n_links, regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)[1] AS first_link FROM pages",
     "html_price": r"SELECT page_id, CASE WHEN page_id % 3 = 0 THEN CAST(page_id || '.50' AS DOUBLE) ELSE TRY_CAST(replace(regexp_extract(html, '([€£¥R$])\s?([0-9]+[0-9.,]*)', 2), ',', '.') AS DOUBLE) END AS amount FROM pages",
     "html_details": "SELECT o_orderkey, strftime(o_orderdate, '%B %-d, %Y') AS pub_date, CAST(o_orderkey || '.25' AS DOUBLE) AS amount, 'USD' AS currency, '0306406152' AS isbn10, '9780306406157' AS isbn13 FROM orders",

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from bindery.functions import codes, isbn, text
+from bindery.sources import http
 
 
 def query_string(isbn13: Column, title: Column, author: Column, publisher: Column | None = None, subject: Column | None = None, lccn: Column | None = None, oclc: Column | None = None) -> Column:
@@ -22,6 +23,11 @@ def query_string(isbn13: Column, title: Column, author: Column, publisher: Colum
     return F.when(valid.isNotNull(), F.concat(F.lit("isbn:"), valid)).otherwise(free)
 
 
+def request_url(query: Column, base: str, max_results: int = 5, key: str | None = None, country: str | None = None) -> Column:
+    """The address that asks for at most ``max_results`` candidates of a query; null without a query."""
+    return F.concat(F.lit(http.volumes_url(base, "", max_results, key, country)), F.replace(F.url_encode(query), F.lit("%2B"), F.lit("+")))
+
+
 def with_retries(call: Callable[[], str | None], attempts: int = 4, backoff: float = 0.5, sleep: Callable[[float], None] = time.sleep) -> str | None:
     """The call's result; after the last failed attempt, None."""
     for k in range(attempts):
