@@ -22,6 +22,13 @@ CACHE = 400_000
 _TAIL = string.punctuation
 
 
+def tokenizer_path(name: str) -> str:
+    """Where the public tokenizer file of a name lies on this machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def _byte_letters() -> dict[int, str]:
     """The letter by which byte-level vocabularies write each byte: printable bytes as themselves, the others from 256."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]

@@ -8,12 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bindery.llm import exact, licenses, mixing, neighbours, packing, secrets, simhash, substrings, tokenfiles, toxicity
-
-
-def tokenizer_path(name: str) -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
+from bindery.llm.encoding import tokenizer_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
