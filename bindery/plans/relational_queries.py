@@ -20,11 +20,14 @@ RUN_TS = "2025-01-01T00:00:00+00:00"
 
 
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Five candidates for every part: the parts after it."""
+    """Five candidates for every part: the parts after it.
+
+    Both sides grow with the table, so neither is broadcast, however small its files are.
+    """
     p = table(spark, sf_dir, "part")
     asked = p.select(F.col("p_partkey").alias("rec_id"), F.concat_ws(" ", "p_name", "p_brand").alias("q_title"), F.col("p_type").alias("q_author"), F.lit(None).cast("string").alias("q_isbn"), F.posexplode(F.sequence(F.lit(1), F.lit(5))).alias("pos", "step"))
     found = p.select(F.col("p_partkey").alias("gb_id"), F.concat_ws(" ", "p_name", "p_brand").alias("title"), F.col("p_type").alias("authors"), F.when(F.col("p_partkey") % 3 == 0, isbn13(F.col("p_partkey"))).alias("isbn13"), (F.lit(1990) + F.col("p_size")).cast("string").alias("publishedDate"))
-    pairs = asked.join(found, F.col("rec_id") + F.col("step") == F.col("gb_id"))
+    pairs = asked.join(found.hint("merge"), F.col("rec_id") + F.col("step") == F.col("gb_id"))
     return ranking.scored(pairs, "q_title", "q_author", "q_isbn", "title", "authors", "isbn13")
 
 

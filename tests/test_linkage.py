@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -5,6 +7,7 @@ from pyspark.sql import functions as F
 from bindery.operators import dedup, quality, ranking, survivorship
 from bindery.plans import pipeline
 from bindery.sources import html, lookup, readers, schemas, sinks
+from tests.conftest import DATA
 
 TS = "2025-01-01T00:00:00+00:00"
 
@@ -149,3 +152,15 @@ def test_results_keep_first_before_missing(spark):
     rows = [(0, "A", "x"), (1, "a ", "X"), (2, None, "y"), (3, "B", ""), (4, "C", "z")]
     df = spark.createDataFrame(rows, "pos int, title string, author string")
     assert [r["pos"] for r in html.first_results(df, ["pos"], 5).collect()] == [0, 4]
+
+
+def _candidate_joins(spark, name):
+    """The joins of a candidate query's plan."""
+    from bindery.plans import relational_queries
+
+    plan = relational_queries.queries()[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    return set(re.findall(r"\w+Join\b", plan))
+
+
+def test_candidates_of_a_fold_are_not_broadcast(spark):
+    assert _candidate_joins(spark, "best_candidate_fold") == {"SortMergeJoin"}
