@@ -164,3 +164,7 @@ def _candidate_joins(spark, name):
 
 def test_candidates_of_a_fold_are_not_broadcast(spark):
     assert _candidate_joins(spark, "best_candidate_fold") == {"SortMergeJoin"}
+
+
+def test_candidates_of_a_ranking_are_not_broadcast(spark):
+    assert _candidate_joins(spark, "best_candidate") == {"SortMergeJoin"}
