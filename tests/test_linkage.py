@@ -168,3 +168,7 @@ def test_candidates_of_a_fold_are_not_broadcast(spark):
 
 def test_candidates_of_a_ranking_are_not_broadcast(spark):
     assert _candidate_joins(spark, "best_candidate") == {"SortMergeJoin"}
+
+
+def test_candidates_of_a_maximum_are_not_broadcast(spark):
+    assert _candidate_joins(spark, "candidate_max_score") == {"SortMergeJoin"}
