@@ -16,6 +16,7 @@ import numpy as np
 #: White space other than spaces and line feeds, and where those do not stand single.
 _OTHER = [chr(c) for c in range(0x3001) if chr(c).isspace() and c not in (10, 32)]
 _UNEVEN = [*_OTHER, "  ", "\n\n", " \n", "\n "]
+_UNEVEN_ASCII = [s for s in _UNEVEN if s.isascii()]
 #: Pieces in a worker's cache before it starts anew.
 CACHE = 400_000
 #: Marks that end a piece are one pre-token of their own after letters.
@@ -62,6 +63,9 @@ class Encoder:
 
     def word(self, word: str, lead: str) -> bytes:
         """The ids of letters only, one pre-token.  Normalisation leaves Latin-1 letters but for their case."""
+        if word.isascii():
+            spelt = self.spelt[lead] + (word.lower() if self.lowers else word)
+            return self.bytes_of([t.id for t in self.tokenize(spelt)])
         if _latin(word):
             if self.lowers:
                 word = word.lower()
@@ -69,7 +73,7 @@ class Encoder:
             word = self.normalizer.normalize_str(word)
             if not word.isalpha():
                 return self.piece(word, lead)
-        spelt = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+        spelt = word.encode().decode("latin-1").translate(self.letters)
         return self.bytes_of([t.id for t in self.tokenize(self.spelt[lead] + spelt)])
 
     def piece(self, piece: str, lead: str) -> bytes:
@@ -79,7 +83,7 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        if text[0] in " \n" or text[-1] in " \n" or any(s in text for s in _UNEVEN):
+        if text[0] in " \n" or text[-1] in " \n" or any(s in text for s in (_UNEVEN_ASCII if text.isascii() else _UNEVEN)):
             return self.bytes_of(self.library.encode(text, add_special_tokens=False).ids)
         if self.lowers and _latin(text):
             text = text.lower()

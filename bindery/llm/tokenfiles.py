@@ -103,6 +103,15 @@ def compress(ids: np.ndarray, last: np.ndarray, terminals: int, rounds: int | No
     return symbols[alive], after[alive] == n, np.concatenate(rules)
 
 
+def _levels(left: np.ndarray, right: np.ndarray, terminals: int) -> Iterator[tuple[int, int]]:
+    """Runs of rules that are made of earlier symbols only."""
+    latest, first = np.maximum.accumulate(np.maximum(left, right)), 0
+    while first < len(latest):
+        last = int(np.searchsorted(latest, terminals + first))
+        yield first, last
+        first = last
+
+
 def write_shard(documents: list[np.ndarray], terminals: int, rounds: int | None = None, least: int = LEAST) -> bytes:
     """The shard of some documents' ids; a document may be empty."""
     sizes = np.array([len(d) for d in documents], dtype=np.int64)
@@ -113,8 +122,8 @@ def write_shard(documents: list[np.ndarray], terminals: int, rounds: int | None
     n_symbols = np.zeros(len(sizes), dtype=np.int64)
     n_symbols[sizes > 0] = np.diff(np.concatenate(([-1], np.flatnonzero(last))))
     spans = np.ones(terminals + len(rules), dtype=np.int64)
-    for k, (left, right) in enumerate(rules.tolist()):
-        spans[terminals + k] = spans[left] + spans[right]
+    for s, e in _levels(rules[:, 0], rules[:, 1], terminals):
+        spans[terminals + s : terminals + e] = spans[rules[s:e]].sum(axis=1)
     wide = "<u2" if len(spans) <= 1 << 16 else "<u4"
     head = struct.pack("<4s4I", MAGIC, len(sizes), len(rules), terminals, len(symbols))
     return head + b"".join(x.astype("<u4").tobytes() for x in (sizes, n_symbols, rules[:, 0], rules[:, 1], spans[terminals:])) + symbols.astype(wide).tobytes()
@@ -144,11 +153,11 @@ class Shard:
             starts = np.concatenate(([0], np.cumsum(self.spans)[:-1]))
             flat = np.empty(int(self.spans.sum()), dtype=np.uint32)
             flat[: self.terminals] = np.arange(self.terminals)
-            n, t = self.spans, self.terminals
-            for k, (left, right) in enumerate(zip(self.left.tolist(), self.right.tolist(), strict=True)):
-                at = starts[t + k]
-                flat[at : at + n[left]] = flat[starts[left] : starts[left] + n[left]]
-                flat[at + n[left] : at + n[left] + n[right]] = flat[starts[right] : starts[right] + n[right]]
+            for s, e in _levels(self.left, self.right, self.terminals):
+                parts = np.stack((self.left[s:e], self.right[s:e]), axis=1).ravel()
+                n, at = self.spans[parts], starts[self.terminals + s]
+                ends = np.cumsum(n)
+                flat[at : at + ends[-1]] = flat[np.arange(ends[-1]) + np.repeat(starts[parts] - ends + n, n)]
             self._flat = flat, starts
         return self._flat
 

@@ -151,3 +151,14 @@ def test_packed_nothing(empty):
 
 def test_worker_keeps_one_encoder():
     assert encoder(tokenizer_path(FILES[0])) is encoder(tokenizer_path(FILES[0]))
+
+
+def test_rules_expand_by_levels():
+    """As many steps as rules are deep, and each rule only after its parts."""
+    rng = np.random.default_rng(4)
+    documents = [rng.choice(40, 3000, p=np.arange(40, 0, -1) / 820).astype(np.uint32) for _ in range(20)] + [np.full(5000, 7, dtype=np.uint32)]
+    shard = tokenfiles.Shard(tokenfiles.write_shard(documents, 64))
+    levels = list(tokenfiles._levels(shard.left, shard.right, shard.terminals))
+    assert [k for s, e in levels for k in range(s, e)] == list(range(len(shard.left))) and len(levels) < len(shard.left) / 4
+    assert all(max(shard.left[s:e].max(), shard.right[s:e].max()) < shard.terminals + s for s, e in levels)
+    assert all((a == b).all() for a, b in zip(shard.documents(), documents, strict=True))
