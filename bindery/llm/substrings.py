@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import ahocorasick
 import numpy as np
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bindery.llm.common import delete, free_shuffles, keyed, shared_dir, written
-from bindery.llm.wordhash import rolling, word_hashes
+from bindery.llm.wordhash import rolling, text_hashes
 from bindery.operators.skew import join_aggregated
 
 WINDOW, PHRASE = 35, 10
@@ -44,9 +45,8 @@ def _sliding_min(g: np.ndarray, k: int) -> np.ndarray:
     return np.minimum(g[: len(g) - (k - size)], g[k - size :]) if k > size else g
 
 
-def _windows(words: list[bytes], window: int, phrase: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, anchor) of every window, and the hash of every phrase; the text has at least ``window`` words."""
-    h = word_hashes(words)
+def _windows(h: np.ndarray, window: int, phrase: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, anchor) of every window, and the hash of every phrase, of at least ``window`` words' hashes."""
     g = rolling(h, phrase, 0xD6E8FEB86659FD93)
     g = (g ^ (g >> _U(32))) * _U(0x9E3779B97F4A7C15)
     g ^= g >> _U(29)
@@ -69,8 +69,7 @@ def _anchor_rows(docs: DataFrame, window: int, phrase: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             anchors, counts, where = [], [], []
-            for k, text in enumerate(batch.column(0)):
-                words = (text.as_py() or b"").split()
+            for k, words in enumerate(text_hashes(batch.column(0))):
                 if len(words) < window:
                     continue
                 _, a, g = _windows(words, window, phrase)
@@ -97,8 +96,7 @@ def _window_rows(docs: DataFrame, window: int, phrase: int, bits: int) -> DataFr
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 out: list[list[np.ndarray]] = [[], [], [], [], [], []]
-                for k, (text, listed, hot) in enumerate(zip(part.column(0), part.column(3), part.column(4), strict=True)):
-                    words = text.as_py().split()
+                for k, (words, listed, hot) in enumerate(zip(text_hashes(part.column(0)), part.column(3), part.column(4), strict=True)):
                     h, a, _ = _windows(words, window, phrase)
                     begins, ends = _rows(a)
                     known = np.isin(a[begins], listed.values.to_numpy().view(_U))
@@ -257,7 +255,7 @@ def recurring(docs: DataFrame, folder: str, window: int = WINDOW, phrase: int =
 
 
 class _Letters(dict):
-    """Word -> code point, anew for each chunk and its shard."""
+    """Word -> code point from 1 on, anew for each chunk and its shard."""
 
     def __missing__(self, word: bytes) -> int:
         k = len(self) + 1
@@ -270,14 +268,13 @@ def locate(texts: list[list[bytes]], places: list[tuple[int, int]], passages: li
 
     ``places`` name the texts, and each of the ``passages`` has its words and the place where they were read: a text's
     name and the number of the first word there.  The automaton's phrases cover each passage end to end, in windows.
-    It reads every text; a phrase found anywhere but where it was read recurs.
+    It reads every text; a phrase found anywhere but where it was read recurs.  Words of no passage are letter 0.
     """
     letters = _Letters()
-    spell = lambda words: np.fromiter(map(letters.__getitem__, words), dtype="<u4", count=len(words)).tobytes().decode("utf-32-le")
-    spelt = [spell(words) for words in texts]
+    spell = lambda codes, n: np.fromiter(codes, dtype="<u4", count=n).tobytes().decode("utf-32-le")
     phrases: dict[str, list[tuple[int, int, int]]] = {}
     for words, (file, row, start) in passages:
-        text = spell(words)
+        text = spell(map(letters.__getitem__, words), len(words))
         for at in (*range(0, len(text) - window, window), len(text) - window):
             read = phrases.setdefault(text[at : at + window], [])
             if len(read) < 2 and (file, row, start + at) not in read:  # of two places, one is elsewhere
@@ -288,9 +285,9 @@ def locate(texts: list[list[bytes]], places: list[tuple[int, int]], passages: li
         for text, read in phrases.items():
             automaton.add_word(text, read)
         automaton.make_automaton()
-        for text, own, (file, row) in zip(spelt, covered, places, strict=True):
+        for words, own, (file, row) in zip(texts, covered, places, strict=True):
             reach = -1
-            for end, read in automaton.iter(text):
+            for end, read in automaton.iter(spell(map(letters.get, words, repeat(0)), len(words))):
                 begin = end - window + 1
                 if len(read) > 1 or read[0] != (file, row, begin):
                     own[max(reach + 1, begin) : end + 1] = True

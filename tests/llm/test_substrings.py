@@ -3,9 +3,10 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from bindery.llm import substrings
+from bindery.llm import substrings, wordhash
 
 
 def brute(rows, window):
@@ -80,3 +81,30 @@ def test_collisions_remove_nothing(spark, hot):
 
 def test_empty(empty):
     assert substrings.remove_repeats(empty).count() == 0
+
+
+def test_words_are_hashed_without_a_lookup_each(monkeypatch):
+    """Equal words have equal hashes, others not, wherever they lie; no word of the texts is looked up by itself."""
+    monkeypatch.setattr(wordhash, "_hashes", None)
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abé\0", k=rng.randint(1, 9))).encode() for _ in range(300)] + [b"q" * 65, b"z" * 300_000]
+    texts = [None, b"", b" \t", b" one", *(b"".join(w + rng.choice([b" ", b"\n\x0b", b"\x0c\r"]) for w in rng.choices(words[:-1], k=300)) for _ in range(300))]
+    texts += [b" ".join(rng.choices(words[:-1], k=90_000)), words[-1], b"one " + words[-1], None, b"one"]
+    hashes: dict[bytes, int] = {}
+    for column in (pa.array(texts, pa.binary()), pa.array(texts, pa.binary()).slice(3, 40)):
+        found = list(wordhash.text_hashes(column))
+        assert [len(h) for h in found] == [len((t or b"").split()) for t in column.to_pylist()]
+        for text, h in zip(column.to_pylist(), found, strict=True):
+            assert all(hashes.setdefault(w, k) == k for w, k in zip((text or b"").split(), h.tolist(), strict=True))
+    assert len(set(hashes.values())) == len(hashes)
+    docs = pa.array(texts[4:8], pa.binary())
+    assert all(len(a) for _, a, _ in (substrings._windows(h, 35, 10) for h in wordhash.text_hashes(docs)))
+
+
+def test_words_of_no_passage_get_no_letter(monkeypatch):
+    named, miss = [], substrings._Letters.__missing__
+    monkeypatch.setattr(substrings._Letters, "__missing__", lambda self, w: named.append(w) or miss(self, w))
+    texts = [[b"x", b"a", b"b", b"c", b"y"], [b"z", b"a", b"b", b"c"], [b"\0"] * 9]
+    found = substrings.locate(texts, [(0, 0), (0, 1), (0, 2)], [([b"a", b"b", b"c"], (0, 0, 1))], 3)
+    assert [x.tolist() for x in found] == [[False] * 5, [False, True, True, True], [False] * 9]
+    assert sorted(named) == [b"a", b"b", b"c"]
