@@ -17,7 +17,7 @@ import numpy as np
 _OTHER = [chr(c) for c in range(0x3001) if chr(c).isspace() and c not in (10, 32)]
 _UNEVEN = [*_OTHER, "  ", "\n\n", " \n", "\n "]
 _UNEVEN_ASCII = [s for s in _UNEVEN if s.isascii()]
-#: Pieces in a worker's cache before it starts anew.
+#: Pieces in a worker's cache, at most.
 CACHE = 400_000
 #: Marks that end a piece are one pre-token of their own after letters.
 _TAIL = string.punctuation
@@ -110,33 +110,40 @@ def _latin(text: str) -> bool:
 
 
 class _Pieces(dict):
-    """Piece -> ids.  Letters before a closing mark are looked up without it."""
+    """Piece -> ids, in two generations of half the limit each, so that a piece in use is not forgotten with the others.
+
+    Letters before a closing mark are looked up without it.
+    """
 
     def __init__(self, encoder: Encoder, lead: str, limit: int) -> None:
         super().__init__()
         self.encoder, self.lead, self.limit = encoder, lead, limit
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= self.limit:
+        if 2 * len(self) >= self.limit:
+            self.older = dict(self)
             self.clear()
-        core = piece.rstrip(_TAIL)
-        if not core.isalpha():
-            ids = self.encoder.piece(piece, self.lead)
-        elif core == piece:
-            ids = self.encoder.word(piece, self.lead)
-        elif self.encoder.normalizer is not None and not _latin(core):
-            ids = self.encoder.piece(piece, self.lead)  # normalised, its end may join the marks
-        else:
-            ids = self[core] + self.encoder.first[piece[len(core) :]]
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = self.anew(piece)
         self[piece] = ids
         return ids
 
+    def anew(self, piece: str) -> bytes:
+        if piece.isalpha():
+            return self.encoder.word(piece, self.lead)
+        core = piece.rstrip(_TAIL)
+        if not core.isalpha() or self.encoder.normalizer is not None and not _latin(core):
+            return self.encoder.piece(piece, self.lead)  # normalised, letters may join the marks
+        return self[core] + self.encoder.first[piece[len(core) :]]
+
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """The worker's encoder for a file."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def encoder(path: str, cache: int = CACHE) -> Encoder:
+    """The worker's encoder for a file and a size of its cache."""
+    if (path, cache) not in _encoders:
+        _encoders[path, cache] = Encoder(path, cache)
+    return _encoders[path, cache]

@@ -31,6 +31,8 @@ MAGIC = b"RPG1"
 #: Ids to a shard, about; uses below which a pair gets no rule.
 SHARD_IDS = 1 << 20
 LEAST = 16
+#: Pieces in a worker's cache, some 200 bytes each; those that are not there take most of the time.
+PIECES = 1_200_000
 SHARDS = "part long, seq long, first_id long, start_in_part long, n_ids long, doc_ids array<long>, payload binary"
 
 
@@ -193,7 +195,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, part, seq, start = encoder(tokenizer), TaskContext.get().partitionId(), 0, 0
+        own, part, seq, start = encoder(tokenizer, PIECES), TaskContext.get().partitionId(), 0, 0
         terminals = max(own.library.get_vocab_size(), end + 1)
         last = own.bytes_of([end])
         names: list[int | None] = []

@@ -162,3 +162,13 @@ def test_rules_expand_by_levels():
     assert [k for s, e in levels for k in range(s, e)] == list(range(len(shard.left))) and len(levels) < len(shard.left) / 4
     assert all(max(shard.left[s:e].max(), shard.right[s:e].max()) < shard.terminals + s for s, e in levels)
     assert all((a == b).all() for a, b in zip(shard.documents(), documents, strict=True))
+
+
+def test_pieces_in_use_are_not_forgotten_with_others(monkeypatch):
+    own, anew = Encoder(tokenizer_path(FILES[0]), cache=40), []
+    word = own.word
+    monkeypatch.setattr(own, "word", lambda w, lead: anew.append(w) or word(w, lead))
+    for k in range(400):
+        own.encode(f"{''.join(chr(97 + int(c)) for c in str(k))} always")
+        assert all(len(p) + len(p.older) <= 40 for p in (own.first, own.spaced))
+    assert anew.count("always") == 1
