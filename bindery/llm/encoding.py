@@ -13,10 +13,9 @@ from array import array
 
 import numpy as np
 
-#: White space other than spaces and line feeds, and where those do not stand single.
+#: White space other than spaces and line feeds.
 _OTHER = [chr(c) for c in range(0x3001) if chr(c).isspace() and c not in (10, 32)]
-_UNEVEN = [*_OTHER, "  ", "\n\n", " \n", "\n "]
-_UNEVEN_ASCII = [s for s in _UNEVEN if s.isascii()]
+_OTHER_ASCII = [s for s in _OTHER if s.isascii()]
 #: Pieces in a worker's cache, at most.
 CACHE = 400_000
 #: Marks that end a piece are one pre-token of their own after letters.
@@ -83,10 +82,18 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        if text[0] in " \n" or text[-1] in " \n" or any(s in text for s in (_UNEVEN_ASCII if text.isascii() else _UNEVEN)):
-            return self.bytes_of(self.library.encode(text, add_special_tokens=False).ids)
-        if self.lowers and _latin(text):
-            text = text.lower()
+        if any(s in text for s in (_OTHER_ASCII if text.isascii() else _OTHER)):
+            return self.whole(text)
+        try:
+            return self.pieces(text.lower() if self.lowers and _latin(text) else text)
+        except _UnevenError:
+            return self.whole(text)
+
+    def whole(self, text: str) -> bytes:
+        return self.bytes_of(self.library.encode(text, add_special_tokens=False).ids)
+
+    def pieces(self, text: str) -> bytes:
+        """The ids of a text's pieces; spaces and line feeds that do not stand single leave an empty one, an error."""
         out: list[bytes] = []
         first, spaced, line = self.first, self.spaced.__getitem__, self.line
         for part in text.split("\n"):
@@ -109,6 +116,10 @@ def _latin(text: str) -> bool:
     return True
 
 
+class _UnevenError(Exception):
+    """A text begins or ends with white space, or has two in a row."""
+
+
 class _Pieces(dict):
     """Piece -> ids, in two generations of half the limit each, so that a piece in use is not forgotten with the others.
 
@@ -121,6 +132,8 @@ class _Pieces(dict):
         self.older: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
+        if not piece:
+            raise _UnevenError
         if 2 * len(self) >= self.limit:
             self.older = dict(self)
             self.clear()

@@ -239,7 +239,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                 shard, start = Shard(payload.as_py()), at.as_py()
                 found = shard.documents()
                 begins = start + np.concatenate(([0], np.cumsum(shard.sizes)[:-1]))
-                crcs = [zlib.crc32(d.astype("<u4").tobytes()) for d in found]
+                crcs = [zlib.crc32(d.astype("<u4", copy=False)) for d in found]
                 yield pa.RecordBatch.from_arrays([pa.array([part.as_py()] * len(found), pa.int64()), pa.array(names.as_py(), pa.int64()), pa.array(begins, pa.int64()), pa.array(shard.sizes, pa.int64()), pa.array(crcs, pa.int64())], names=["part", "doc_id", "begin", "n_tokens", "ids_crc32"])
 
     shards = spark.read.schema(SHARDS).parquet(path)

@@ -172,3 +172,15 @@ def test_pieces_in_use_are_not_forgotten_with_others(monkeypatch):
         own.encode(f"{''.join(chr(97 + int(c)) for c in str(k))} always")
         assert all(len(p) + len(p.older) <= 40 for p in (own.first, own.spaced))
     assert anew.count("always") == 1
+
+
+@pytest.mark.parametrize("name", FILES)
+def test_uneven_texts_are_told_by_their_pieces(name, monkeypatch):
+    """Uneven texts go to the library whole, and no text is searched for two marks of white space in a row."""
+    own, told, whole = Encoder(tokenizer_path(name)), library(name), []
+    library_takes = own.whole
+    monkeypatch.setattr(own, "whole", lambda text: whole.append(text) or library_takes(text))
+    uneven = [" ", "\n", " a", "a\n", "a  b", "a \nb", "a\n b", "a\n\nb", "a\tb", "É  é"]
+    for text in [*uneven, "a b\nc.", "É é", *uneven]:
+        assert np.frombuffer(own.encode(text), own.dtype).tolist() == told.encode(text, add_special_tokens=False).ids
+    assert whole == uneven * 2
